@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankflow.llm import mixing, sharding
+from rankflow.llm import mixing, quality_rules, sharding
 from rankflow.llm.common import table
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document; the rules are learned from all labels."""
+    rows = quality_rules.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 23 under the law ``rows``."""
     rows = sharding.interleave_shards(table(spark, sf_dir, "documents"), shards=24)
@@ -77,5 +83,5 @@ SELECT doc_id, size, source_size, target, CAST(size * (
 FROM p
 """
 
-QUERIES = {"op3_sharding": op3_sharding, "op6_mixing": op6_mixing}
+QUERIES = {"op2_quality_rules": op2_quality_rules, "op3_sharding": op3_sharding, "op6_mixing": op6_mixing}
 ORACLE_SQL = {"op3_sharding": OP3_SQL, "op6_mixing": OP6_SQL}
