@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankflow.llm import chat, token_files
+from rankflow.llm import bpe_trie, chat, token_files
 from rankflow.llm.common import table
 
 
@@ -23,5 +23,10 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(written)
 
 
-QUERIES = {"op5_chat": op5_chat, "op7_token_files": op7_token_files}
+def op8_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's tokens and of what they decode to."""
+    return bpe_trie.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES = {"op5_chat": op5_chat, "op7_token_files": op7_token_files, "op8_bpe_trie": op8_bpe_trie}
 ORACLE_SQL: dict[str, str] = {}
