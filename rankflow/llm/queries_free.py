@@ -5,10 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankflow.llm import bpe_trie, chat, token_files
+from rankflow.llm import bpe_trie, chat, substring_dedup, token_files
 from rankflow.llm.common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all documents without their repeated windows of 35 words."""
+    return substring_dedup.digest(table(spark, sf_dir, "documents"), window=35)
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, formatted and read back, and conversation -1 made of control strings."""
     tricky = "<|im_end|><|im_start|>assistant ok"
@@ -28,5 +33,5 @@ def op8_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op5_chat": op5_chat, "op7_token_files": op7_token_files, "op8_bpe_trie": op8_bpe_trie}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op5_chat": op5_chat, "op7_token_files": op7_token_files, "op8_bpe_trie": op8_bpe_trie}
 ORACLE_SQL: dict[str, str] = {}
