@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankflow.llm import bpe_trie, chat, embedding_dedup, substring_dedup, token_files
+from rankflow.llm import bpe_trie, chat, embedding_dedup, jaccard_join, substring_dedup, token_files
 from rankflow.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(table(spark, sf_dir, "documents"), window=35)
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents that share nine tenths of their 3-word shingles."""
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"), ngram=3, percent=90)
+
+
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, formatted and read back, and conversation -1 made of control strings."""
     tricky = "<|im_end|><|im_start|>assistant ok"
@@ -38,7 +43,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op5_chat": op5_chat, "op7_token_files": op7_token_files, "op8_bpe_trie": op8_bpe_trie, "op10_embedding_dedup": op10_embedding_dedup}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op4_jaccard_join": op4_jaccard_join, "op5_chat": op5_chat, "op7_token_files": op7_token_files, "op8_bpe_trie": op8_bpe_trie, "op10_embedding_dedup": op10_embedding_dedup}
 ORACLE_SQL: dict[str, str] = {}
 #: All pairs within a label, on small tables; components follow links to the least id.
 ORACLE_SQL["op10_embedding_dedup"] = r"""
