@@ -7,10 +7,11 @@ are removed as maximal intervals.
 How windows are counted: a task hashes the windows of a batch of documents and sends each
 *distinct* hash of the batch once to the bucket of that hash, packed in one row for each
 bucket. A hash that the batch holds twice is known to be repeated there; its places go
-straight back to their documents and its bucket entry only tells other batches. So a passage
+back to their documents and its bucket entry only tells other batches. So a passage
 that a third of all documents share costs a bucket one entry for each batch, and no list of
 its places is ever gathered. A bucket sorts its hashes and returns, for single occurrences
-that another batch has as well, the places. Documents then meet their places by key.
+that another batch has as well, the places. Places travel packed, one row for each bucket and route; documents are dealt by
+the same routes, and a task reads a route's places before its documents.
 
 A hash is 64 bits with a bucket number from an independent one, so that n windows
 hold about n * n / 2**(65 + log2(buckets)) pairs of different windows that count as equal: 3e-6 for
@@ -20,7 +21,9 @@ the 10**8 windows of one gigabyte of text.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import itertools
+import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +35,9 @@ from pyspark.sql import functions as F
 BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 MIX_1, MIX_2 = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
 #: Words hashed at a time, and most text in a bucket on average.
-BATCH_WORDS, BUCKET_BYTES = 1 << 20, 16 << 20
+BATCH_WORDS, BUCKET_BYTES = 1 << 19, 16 << 20
 #: Words whose hash a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 
 class WordHashes(dict):
@@ -155,12 +158,9 @@ def _send(rows: list[tuple[int, list[bytes]]], window: int, buckets: int) -> Ite
     keys = np.array([k for k, _ in rows], np.int64)
 
     again = count[which] > 1
-    out: list[tuple[int, int | None, bytes]] = []
+    out: list[tuple[int, bool, bytes]] = []
     if again.any():
-        d, p = doc[again], place[again]
-        cuts = np.flatnonzero(np.diff(d)) + 1
-        for k, some in zip(d[np.concatenate([[0], cuts])], np.split(p, cuts)):
-            out.append((int(keys[k]) % buckets, int(keys[k]), some.astype(np.uint32).tobytes()))
+        out += [(r, True, blob) for r, blob in _by_route(keys[doc[again]], place[again], buckets)]
     once = np.sort(first)
     once = once[np.argsort(bucket[once], kind="stable")]  # by bucket, then document and place
     edges = np.flatnonzero(np.diff(bucket[once], prepend=-1))
@@ -168,34 +168,59 @@ def _send(rows: list[tuple[int, list[bytes]]], window: int, buckets: int) -> Ite
         d = doc[part]
         docs_at = np.flatnonzero(np.diff(d, prepend=-1))
         counts = np.diff(np.append(docs_at, len(d)))
-        out.append((int(bucket[part[0]]), None, _pack(keys[d[docs_at]], counts, hashes[part], place[part], again[part])))
-    for i in range(0, len(out), 4096):
-        b, k, blob = zip(*out[i : i + 4096])
-        yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(k, pa.int64()), pa.array(blob, pa.binary())], ["bucket", "key", "blob"])
+        out.append((int(bucket[part[0]]), False, _pack(keys[d[docs_at]], counts, hashes[part], place[part], again[part])))
+    for i in range(0, len(out), 64):
+        b, known, blob = zip(*out[i : i + 64])
+        yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(known, pa.bool_()), pa.array(blob, pa.binary())], ["bucket", "known", "blob"])
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated places of whole buckets; rows that hold places already pass through."""
-    now, blobs = None, []
-    for batch in batches:
-        out_keys, out_places = [], []
-        for bucket, key, blob in zip(batch.column("bucket").to_pylist(), batch.column("key").to_pylist(), batch.column("blob")):
-            if key is not None:
-                out_keys.append(key)
-                out_places.append(blob.as_py())
-                continue
-            if bucket != now and blobs:
-                yield from _repeated(blobs)
-                blobs = []
-            now = bucket
-            blobs.append(blob.as_py())
-        if out_keys:
-            yield pa.RecordBatch.from_arrays([pa.array(out_keys, pa.int64()), pa.array(out_places, pa.binary())], ["key", "places"])
-    if blobs:
-        yield from _repeated(blobs)
-
-
-def _repeated(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+def _count(buckets: int):
+    """Repeated places of whole buckets, one row for each route that documents take."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blobs = None, []
+        for batch in batches:
+            passed = []
+            for bucket, known, blob in zip(batch.column("bucket").to_pylist(), batch.column("known").to_pylist(), batch.column("blob")):
+                if known:
+                    passed.append((bucket, blob.as_py()))
+                    continue
+                if bucket != now and blobs:
+                    yield from _repeated(blobs, buckets)
+                    blobs = []
+                now = bucket
+                blobs.append(blob.as_py())
+            if passed:
+                yield _routed(passed)
+        if blobs:
+            yield from _repeated(blobs, buckets)
+
+    return run
+
+
+def _by_route(keys: np.ndarray, places: np.ndarray, routes: int) -> Iterator[tuple[int, bytes]]:
+    """Places of documents, packed by the route of their key: keys, counts, places."""
+    edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    counts = np.diff(np.append(edges, len(keys)))
+    route = keys[edges] % routes
+    order = np.argsort(route, kind="stable")
+    cuts = np.flatnonzero(np.diff(route[order])) + 1
+    starts = edges.astype(np.int64)
+    for some in np.split(order, cuts):
+        # the places of the chosen documents, one document after the other
+        n = counts[some]
+        at = np.repeat(starts[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        yield int(route[some[0]]), b"".join(x.tobytes() for x in (np.array([len(some)], np.uint32), keys[edges][some], n.astype(np.uint32), places[at].astype(np.uint32)))
+
+
+def _places_of(blob: bytes) -> Iterator[tuple[int, np.ndarray]]:
+    n = int(np.frombuffer(blob, np.uint32, 1)[0])
+    keys, counts = np.frombuffer(blob, np.int64, n, 4), np.frombuffer(blob, np.uint32, n, 4 + 8 * n)
+    places = np.frombuffer(blob, np.uint32, -1, 4 + 12 * n)
+    yield from zip(keys.tolist(), np.split(places, np.cumsum(counts)[:-1]))
+
+
+def _repeated(blobs: list[bytes], routes: int) -> Iterator[pa.RecordBatch]:
     opened = [_unpack(b) for b in blobs]
     hashes = np.concatenate([x[2] for x in opened])
     order = np.sort(hashes)
@@ -207,41 +232,62 @@ def _repeated(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
     for keys, counts, own, places, again in opened:
         at = np.minimum(np.searchsorted(twice, own), len(twice) - 1)
         hit = np.flatnonzero((twice[at] == own) & ~again)
-        if len(hit):
-            doc = np.repeat(np.arange(len(keys)), counts)[hit]
-            cuts = np.flatnonzero(np.diff(doc)) + 1
-            keys_out += keys[doc[np.concatenate([[0], cuts])]].tolist()
-            places_out += [p.astype(np.uint32).tobytes() for p in np.split(places[hit], cuts)]
-    for i in range(0, len(keys_out), 10_000):
-        yield pa.RecordBatch.from_arrays([pa.array(keys_out[i : i + 10_000], pa.int64()), pa.array(places_out[i : i + 10_000], pa.binary())], ["key", "places"])
+        keys_out.append(np.repeat(keys, counts)[hit])
+        places_out.append(places[hit])
+    keys, places = np.concatenate(keys_out), np.concatenate(places_out)
+    if len(keys):
+        yield _routed(_by_route(keys, places, routes))
+
+
+def _routed(rows: Iterable[tuple[int, bytes]]) -> pa.RecordBatch:
+    routes, blobs = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(routes, pa.int32()), pa.array(blobs, pa.binary())], ["_route", "_blob"])
 
 
-def removed_mask(n: int, places: list[bytes] | None, window: int) -> np.ndarray:
+def removed_mask(n: int, places: list[np.ndarray], window: int) -> np.ndarray:
     """Which of n words are covered: windows merge into maximal intervals."""
     edges = np.zeros(n + 1, np.int64)
-    for blob in places or ():
-        start = np.frombuffer(blob, np.uint32).astype(np.int64)
+    for start in places:
         np.add.at(edges, start, 1)
-        np.add.at(edges, start + window, -1)
+        np.add.at(edges, start.astype(np.int64) + window, -1)
     return np.cumsum(edges[:n]) > 0
 
 
-def repeated_places(docs: DataFrame, key: Column, text_col: str, window: int) -> DataFrame:
-    """Starts of repeated windows by document: ``key, places`` (arrays of packed numbers)."""
+def _with_places(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
+    """The documents, dealt by route, each route's after the rows that hold its places.
+
+    Columns ``_route, _key, _known, _blob`` come before those of ``docs``.
+    """
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length(F.col(text_col)).cast("long"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+    key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
     texts = docs.where(F.col(text_col).isNotNull()).select(key.alias("key"), F.col(text_col).cast("binary").alias("text"))
-    sent = texts.mapInArrow(_hash_batches(window, buckets), "bucket int, key long, blob binary")
+    sent = texts.mapInArrow(_hash_batches(window, buckets), "bucket int, known boolean, blob binary")
+    # known repeats go on to their route; a task counts its buckets one after the other
     dealt = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    places = dealt.mapInArrow(_count, "key long, places binary")
-    return places.groupBy("key").agg(F.collect_list("places").alias("places"))  # a document has no more places than words
+    places = dealt.mapInArrow(_count(buckets), "_route int, _blob binary")
+    rows = docs.select(F.pmod(key, F.lit(buckets)).cast("int").alias("_route"), key.alias("_key"), F.lit(None).cast("binary").alias("_blob"), *docs.columns)
+    rows = rows.unionByName(places, allowMissingColumns=True)
+    return rows.repartition(buckets, "_route").sortWithinPartitions("_route", F.col("_blob").isNull())
 
 
-def _with_places(docs: DataFrame, text_col: str, id_col: str, window: int) -> DataFrame:
-    key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
-    places = repeated_places(docs, key, text_col, window).select(F.col("key").alias("_key"), F.col("places").alias("_places"))
-    return docs.withColumn("_key", key).join(places, "_key", "left").drop("_key")
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[np.ndarray]]]]:
+    """Batches of documents, with the places of each; a route's places come before its documents."""
+    now, known = None, {}
+    for batch in batches:
+        found, documents = [], []
+        for i, (route, key, blob) in enumerate(zip(batch.column("_route").to_pylist(), batch.column("_key").to_pylist(), batch.column("_blob"))):
+            if route != now:
+                now, known = route, {}
+            if blob.is_valid:
+                for k, places in _places_of(blob.as_py()):
+                    known.setdefault(k, []).append(places)
+            else:
+                documents.append(i)
+                found.append(known.get(key, []))
+        if documents:
+            yield (batch if len(documents) == len(batch) else batch.take(pa.array(documents))), found
 
 
 def digest(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,47 +298,42 @@ def digest(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, found in _gather(batches):
             rows = []
-            for doc_id, text, places in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("_places").to_pylist()):
+            for doc_id, text, places in zip(batch.column("doc_id").to_pylist(), batch.column("text"), found):
                 words = (text.as_py() or b"").split()
                 n = len(words)
                 if places:
-                    gone = removed_mask(n, places, window)
-                    words = [w for w, g in zip(words, gone.tolist()) if not g]
+                    words = list(itertools.compress(words, (~removed_mask(n, places, window)).tolist()))
                 rows.append((doc_id, n, n - len(words), hashlib.sha256(b" ".join(words)).hexdigest()))
-            if rows:
-                a, b, c, d = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
+            a, b, c, d = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d)], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = _with_places(rows, "text", "doc_id", window).select("doc_id", F.col("text").cast("binary").alias("text"), "_places")
+    rows = _with_places(rows, "doc_id", "text", window).withColumn("text", F.col("text").cast("binary"))
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated windows' words cut out of the texts.
 
-    A removed interval goes with the white space behind it; all else of a text stays as it
-    is. Rows and columns stay; a document may end up empty. Nulls and repeated rows: see :func:`digest`.
+    A removed word goes with the white space behind it; all else of a text stays as it
+    is. Rows and columns stay; a document may end up empty. Columns must not be named ``_route``,
+    ``_key`` or ``_blob``. Nulls and repeated rows: see :func:`digest`.
     """
-    import re
-
     word = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
+    names, schema = docs.columns, docs.schema
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index(text_col)
+        for batch, found in _gather(batches):
             texts = []
-            for text, places in zip(batch.column(at).to_pylist(), batch.column("_places").to_pylist()):
+            for text, places in zip(batch.column(text_col).to_pylist(), found):
                 if places:
                     raw = text.encode()
                     spans = [m.span() for m in word.finditer(raw)]
                     gone = removed_mask(len(spans), places, window).tolist()
                     text = (raw[: spans[0][0]] + b"".join(raw[a:b] for (a, b), g in zip(spans, gone) if not g)).decode()
                 texts.append(text)
-            columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns)][:-1]
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in names], names)
 
-    kept = _with_places(docs, text_col, id_col, window).select(*docs.columns, "_places")
-    return kept.mapInArrow(cut_out, docs.schema)
+    return _with_places(docs, id_col, text_col, window).mapInArrow(cut_out, schema)
