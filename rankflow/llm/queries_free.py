@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rankflow.llm import bpe_trie, chat, embedding_dedup, jaccard_join, substring_dedup, token_files
+from rankflow.llm import bpe_trie, chat, embedding_dedup, jaccard_join, quality_classifier, substring_dedup, token_files
 from rankflow.llm.common import table
 
 
@@ -38,12 +38,19 @@ def op8_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_trie.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores and verdict of every document; trained on documents with labels and a pool without."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang", "n_chars")
+    model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
+    return quality_classifier.score(docs, model).select("doc_id", "text_score", "meta_score", "score", "kept")
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors at a cosine of 0.98 and more."""
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
-QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op4_jaccard_join": op4_jaccard_join, "op5_chat": op5_chat, "op7_token_files": op7_token_files, "op8_bpe_trie": op8_bpe_trie, "op10_embedding_dedup": op10_embedding_dedup}
+QUERIES = {"op1_substring_dedup": op1_substring_dedup, "op4_jaccard_join": op4_jaccard_join, "op5_chat": op5_chat, "op7_token_files": op7_token_files, "op8_bpe_trie": op8_bpe_trie, "op9_quality_classifier": op9_quality_classifier, "op10_embedding_dedup": op10_embedding_dedup}
 ORACLE_SQL: dict[str, str] = {}
 #: All pairs within a label, on small tables; components follow links to the least id.
 ORACLE_SQL["op10_embedding_dedup"] = r"""
