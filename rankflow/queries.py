@@ -32,7 +32,7 @@ def query(sql: str | None = None):
 
 def _seq(spark: SparkSession, sf_dir: str, table: str, key: str, *columns: str) -> Seq:
     """A table whose key counts from 0, as a sequence of some of its columns."""
-    df = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*dict.fromkeys([key, *columns]))
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*dict.fromkeys([*columns, key]))
     return Seq(df.withColumnRenamed(key, "pos") if key not in columns else df.withColumn("pos", F.col(key)))
 
 
