@@ -14,8 +14,10 @@ is handled once. For sets whose Jaccard similarity reaches the threshold:
 * Candidates are verified on the exact sets.
 
 Frequencies are counted over all documents in a table of fixed size (SLOTS counters, a
-token adds to the counter of its hash), which is the only thing broadcast. Any common order is right;
-the counts only make it a good one.
+token adds to the counter of its hash), which is broadcast in one byte for each counter. Any
+common order is right; the counts only make it a good one. Which documents have candidates at
+all is told to the scan by a bit table of the same fixed size, so only their sets are shuffled;
+what the table lets through by chance a join takes out again.
 
 Groups that share an index entry are not expanded into pairs at once. In star rounds every
 member is compared with one leader of its entry; members that are already connected need no
@@ -39,7 +41,7 @@ from rankflow.llm.components import components
 from rankflow.llm.substring_dedup import mix, rolling, word_hashes
 
 #: Counters of token frequencies, and parts in which they are summed.
-SLOTS, PARTS = 1 << 20, 16
+SLOTS, PARTS = 1 << 24, 64
 #: A token is frequent if its counter is this far above twice the mean counter.
 FREQUENT = 256
 #: Sets with at most so many possible misses index pairs of frequent tokens.
@@ -99,20 +101,40 @@ def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
         yield doc_id, text.as_py() or b""
 
 
+def levels(counts: np.ndarray) -> np.ndarray:
+    """Counts as one byte, in order: exact below 128, then eight steps for each doubling."""
+    counts = np.asarray(counts, np.float64)
+    return np.where(counts < 128, counts, np.minimum(255, 128 + np.floor(8 * np.log2(np.maximum(counts, 128) / 128)))).astype(np.uint8)
+
+
+def _packed(parts: Iterator[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+    numbers, arrays = zip(*parts)
+    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in arrays], pa.binary())], ["part", "table"])
+
+
+PACKED = "part int, table binary"
+
+
 def _count_slots(ngram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, waiting, size = np.zeros(SLOTS, np.int64), [], 0
+        counts, waiting, size = np.zeros(SLOTS, np.uint32), [], 0
+
+        def add() -> None:
+            slots, n = np.unique(np.concatenate(waiting), return_counts=True)
+            counts[slots] += n.astype(np.uint32)
+
         for batch in batches:
             for _, text in _texts(batch):
-                waiting.append(token_set(text, ngram) & np.uint64(SLOTS - 1))
+                waiting.append((token_set(text, ngram) & np.uint64(SLOTS - 1)).astype(np.uint32))
                 size += len(waiting[-1])
-                if size > SLOTS:
-                    counts += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=SLOTS)
+                if size > 1 << 21:
+                    add()
                     waiting, size = [], 0
-        if waiting:
-            counts += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=SLOTS)
-        blobs = [zlib.compress(part.tobytes(), 1) for part in np.split(counts, PARTS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(blobs, pa.binary())], ["part", "counts"])
+        if size:
+            add()
+        for i, part in enumerate(np.split(counts, PARTS)):
+            if part.any():
+                yield _packed([(i, part)])
 
     return run
 
@@ -120,19 +142,53 @@ def _count_slots(ngram: int):
 def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for part, blob in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist()):
-            sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(blob), np.int64)
-    if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], ["part", "counts"])
+        for part, blob in zip(batch.column("part").to_pylist(), batch.column("table")):
+            sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(blob.as_py()), np.uint32).astype(np.int64)
+    for part, counts in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(levels(counts).tobytes(), 1)], pa.binary()), pa.array([int(counts.sum())], pa.int64())], ["part", "table", "total"])
+
 
+def token_levels(rows: DataFrame, ngram: int) -> tuple[np.ndarray, int]:
+    """Documents by token slot over all rows, as levels, and the level from which tokens are frequent.
 
-def token_counts(rows: DataFrame, ngram: int) -> np.ndarray:
-    """Documents by token slot, over all rows: PARTS blobs of fixed size reach the driver."""
-    parts = rows.mapInArrow(_count_slots(ngram), "part int, counts binary").repartition(PARTS, "part").mapInArrow(_add_counts, "part int, counts binary").collect()
-    counts = np.zeros(SLOTS, np.int64)
+    PARTS tables of fixed size reach the driver.
+    """
+    parts = rows.mapInArrow(_count_slots(ngram), PACKED).repartition(PARTS, "part").mapInArrow(_add_counts, PACKED + ", total long").collect()
+    table, width = np.zeros(SLOTS, np.uint8), SLOTS // PARTS
     for p in parts:
-        counts[p.part * (SLOTS // PARTS) : (p.part + 1) * (SLOTS // PARTS)] = np.frombuffer(zlib.decompress(p.counts), np.int64)
-    return counts
+        table[p.part * width : (p.part + 1) * width] = np.frombuffer(zlib.decompress(p.table), np.uint8)
+    mean = sum(p.total for p in parts) / SLOTS
+    return table, int(levels(np.array(2 * mean + FREQUENT)))
+
+
+def _bit_slots(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def _set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(SLOTS, bool)
+    for batch in batches:
+        bits[_bit_slots(batch.column("doc_id").to_numpy(zero_copy_only=False))] = True
+    for i, part in enumerate(np.split(bits, PARTS)):
+        if part.any():
+            yield _packed([(i, np.packbits(part))])
+
+
+def _or_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, blob in zip(batch.column("part").to_pylist(), batch.column("table")):
+            found[part] = found.get(part, np.uint8(0)) | np.frombuffer(zlib.decompress(blob.as_py()), np.uint8)
+    if found:
+        yield _packed(found.items())
+
+
+def id_bits(ids: DataFrame) -> np.ndarray:
+    """A bit table of the ids' hashes; PARTS tables of fixed size reach the driver."""
+    table, width = np.zeros(SLOTS // 8, np.uint8), SLOTS // PARTS // 8
+    for p in ids.select("doc_id").mapInArrow(_set_bits, PACKED).repartition(PARTS, "part").mapInArrow(_or_bits, PACKED).collect():
+        table[p.part * width : (p.part + 1) * width] = np.frombuffer(zlib.decompress(p.table), np.uint8)
+    return table
 
 
 def _signed(x: int) -> int:
@@ -143,10 +199,9 @@ def _set_key(tokens: np.ndarray) -> int:
     return _signed(xxhash.xxh3_64_intdigest(tokens.tobytes()))
 
 
-def _sign(ngram: int, percent: int, shared):
+def _sign(ngram: int, percent: int, shared, frequent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.frombuffer(zlib.decompress(shared.value), np.int64)
-        frequent = 2 * counts.mean() + FREQUENT
+        counts = np.frombuffer(zlib.decompress(shared.value), np.uint8)
         for batch in batches:
             ids, sizes, keys, entries = [], [], [], []
             for doc_id, text in _texts(batch):
@@ -161,21 +216,30 @@ def _sign(ngram: int, percent: int, shared):
     return run
 
 
-def _sets(ngram: int):
+def _sets(ngram: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(zlib.decompress(shared.value), np.uint8)).astype(bool)
         for batch in batches:
-            keys, sets = [], []
-            for (_, text), k in zip(_texts(batch), batch.column("k").to_pylist()):
-                tokens = token_set(text, ngram)
-                if _set_key(tokens) == k:  # rows can share an id
-                    keys.append(k)
+            ids, keys, sets = [], [], []
+            for (doc_id, text), slot in zip(_texts(batch), _bit_slots(batch.column("doc_id").to_numpy(zero_copy_only=False)).tolist()):
+                if bits[slot]:
+                    tokens = token_set(text, ngram)
+                    ids.append(doc_id)
+                    keys.append(_set_key(tokens))
                     sets.append(tokens.view(np.int64))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["k", "tokens"])
+                if len(ids) >= 512:
+                    yield _set_batch(ids, keys, sets)
+                    ids, keys, sets = [], [], []
+            if ids:
+                yield _set_batch(ids, keys, sets)
 
     return run
 
 
+def _set_batch(ids: list, keys: list, sets: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "k", "tokens"])
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of candidate pairs, whether they link."""
     a, b = (sets.select(F.col("k").alias(k), F.col("tokens").alias(f"t{k}")) for k in "ab")
@@ -195,15 +259,19 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col:
         raise ValueError("percent must be above 50 and at most 100")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    shared = spark.sparkContext.broadcast(zlib.compress(token_counts(rows, ngram).tobytes(), 1))
-    base = cut(rows.mapInArrow(_sign(ngram, percent, shared), "doc_id long, n long, k long, entries array<long>"))
+    table, frequent = token_levels(rows, ngram)
+    shared = spark.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))
+    base = cut(rows.mapInArrow(_sign(ngram, percent, shared, frequent), "doc_id long, n long, k long, entries array<long>"))
 
     classes = base.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("entries").alias("entries"))
     entry = Window.partitionBy("entry")
     index = classes.select("k", "n", F.explode("entries").alias("entry")).withColumn("lo", F.min("k").over(entry)).withColumn("hi", F.max("k").over(entry))
     index = cut(index.where("lo < hi").select("entry", "k", "n"))
-    wanted = index.select("k").distinct().join(base.groupBy("k").agg(F.min("doc_id").alias("doc_id")), "k")
-    sets = cut(rows.join(wanted, "doc_id").select("doc_id", "text", "k").mapInArrow(_sets(ngram), "k long, tokens array<long>").dropDuplicates(["k"]))
+    wanted = cut(index.select("k").distinct().join(base.groupBy("k").agg(F.min("doc_id").alias("doc_id")), "k"))
+    bits = spark.sparkContext.broadcast(zlib.compress(id_bits(wanted).tobytes(), 1))
+    sets = rows.where("doc_id is not null").mapInArrow(_sets(ngram, bits), "doc_id long, k long, tokens array<long>")
+    # rows can share an id, so the key decides; equal rows are one
+    sets = cut(sets.join(wanted, ["doc_id", "k"]).groupBy("k").agg(F.first("tokens").alias("tokens")))
 
     def alike(x: str, y: str) -> str:
         return f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
