@@ -15,8 +15,9 @@ is handled once. For sets whose Jaccard similarity reaches the threshold:
 
 Frequencies are counted over all documents in a table of fixed size (SLOTS counters, a
 token adds to the counter of its hash), which is broadcast in one byte for each counter. Any
-common order is right; the counts only make it a good one. Which documents have candidates at
-all is told to the scan by a bit table of the same fixed size, so only their sets are shuffled;
+common order is right; the counts only make it a good one: the more tokens share a counter, the
+more candidates are compared in vain. Which documents have candidates at
+all is told to the scan by a bit table of fixed size, so only their sets are shuffled;
 what the table lets through by chance a join takes out again.
 
 Groups that share an index entry are not expanded into pairs at once. In star rounds every
@@ -40,8 +41,8 @@ from rankflow.llm.common import cut
 from rankflow.llm.components import components
 from rankflow.llm.substring_dedup import mix, rolling, word_hashes
 
-#: Counters of token frequencies, and parts in which they are summed.
-SLOTS, PARTS = 1 << 24, 64
+#: Counters of token frequencies, bits of the table of candidates, and parts in which both are made.
+SLOTS, BITS, PARTS = 1 << 26, 1 << 24, 64
 #: A token is frequent if its counter is this far above twice the mean counter.
 FREQUENT = 256
 #: Sets with at most so many possible misses index pairs of frequent tokens.
@@ -117,11 +118,11 @@ PACKED = "part int, table binary"
 
 def _count_slots(ngram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, waiting, size = np.zeros(SLOTS, np.uint32), [], 0
+        counts, waiting, size = np.zeros(SLOTS, np.uint8), [], 0  # a task counts to 255
 
         def add() -> None:
             slots, n = np.unique(np.concatenate(waiting), return_counts=True)
-            counts[slots] += n.astype(np.uint32)
+            counts[slots] = np.minimum(255, counts[slots] + n)
 
         for batch in batches:
             for _, text in _texts(batch):
@@ -143,30 +144,35 @@ def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, blob in zip(batch.column("part").to_pylist(), batch.column("table")):
-            sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(blob.as_py()), np.uint32).astype(np.int64)
+            sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(blob.as_py()), np.uint8).astype(np.int64)
     for part, counts in sums.items():
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(levels(counts).tobytes(), 1)], pa.binary()), pa.array([int(counts.sum())], pa.int64())], ["part", "table", "total"])
 
 
-def token_levels(rows: DataFrame, ngram: int) -> tuple[np.ndarray, int]:
+def token_levels(rows: DataFrame, ngram: int) -> tuple[list[tuple[int, bytes]], int]:
     """Documents by token slot over all rows, as levels, and the level from which tokens are frequent.
 
-    PARTS tables of fixed size reach the driver.
+    PARTS compressed tables of fixed size pass through the driver.
     """
     parts = rows.mapInArrow(_count_slots(ngram), PACKED).repartition(PARTS, "part").mapInArrow(_add_counts, PACKED + ", total long").collect()
-    table, width = np.zeros(SLOTS, np.uint8), SLOTS // PARTS
-    for p in parts:
-        table[p.part * width : (p.part + 1) * width] = np.frombuffer(zlib.decompress(p.table), np.uint8)
     mean = sum(p.total for p in parts) / SLOTS
-    return table, int(levels(np.array(2 * mean + FREQUENT)))
+    return [(p.part, bytes(p.table)) for p in parts], int(levels(np.array(2 * mean + FREQUENT)))
+
+
+def unpacked(parts: list[tuple[int, bytes]], size: int) -> np.ndarray:
+    """One table of the parts that are there; the others are zero."""
+    table, width = np.zeros(size, np.uint8), size // PARTS
+    for part, blob in parts:
+        table[part * width : (part + 1) * width] = np.frombuffer(zlib.decompress(blob), np.uint8)
+    return table
 
 
 def _bit_slots(ids: np.ndarray) -> np.ndarray:
-    return (mix(ids.astype(np.int64).view(np.uint64)) & np.uint64(SLOTS - 1)).astype(np.int64)
+    return (mix(ids.astype(np.int64).view(np.uint64)) & np.uint64(BITS - 1)).astype(np.int64)
 
 
 def _set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bits = np.zeros(SLOTS, bool)
+    bits = np.zeros(BITS, bool)
     for batch in batches:
         bits[_bit_slots(batch.column("doc_id").to_numpy(zero_copy_only=False))] = True
     for i, part in enumerate(np.split(bits, PARTS)):
@@ -183,12 +189,9 @@ def _or_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _packed(found.items())
 
 
-def id_bits(ids: DataFrame) -> np.ndarray:
-    """A bit table of the ids' hashes; PARTS tables of fixed size reach the driver."""
-    table, width = np.zeros(SLOTS // 8, np.uint8), SLOTS // PARTS // 8
-    for p in ids.select("doc_id").mapInArrow(_set_bits, PACKED).repartition(PARTS, "part").mapInArrow(_or_bits, PACKED).collect():
-        table[p.part * width : (p.part + 1) * width] = np.frombuffer(zlib.decompress(p.table), np.uint8)
-    return table
+def id_bits(ids: DataFrame) -> list[tuple[int, bytes]]:
+    """A bit table of the ids' hashes; PARTS compressed tables of fixed size pass through the driver."""
+    return [(p.part, bytes(p.table)) for p in ids.select("doc_id").mapInArrow(_set_bits, PACKED).repartition(PARTS, "part").mapInArrow(_or_bits, PACKED).collect()]
 
 
 def _signed(x: int) -> int:
@@ -201,7 +204,7 @@ def _set_key(tokens: np.ndarray) -> int:
 
 def _sign(ngram: int, percent: int, shared, frequent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.frombuffer(zlib.decompress(shared.value), np.uint8)
+        counts = unpacked(shared.value, SLOTS)
         for batch in batches:
             ids, sizes, keys, entries = [], [], [], []
             for doc_id, text in _texts(batch):
@@ -218,11 +221,11 @@ def _sign(ngram: int, percent: int, shared, frequent: int):
 
 def _sets(ngram: int, shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(np.frombuffer(zlib.decompress(shared.value), np.uint8)).astype(bool)
+        bits = unpacked(shared.value, BITS // 8)
         for batch in batches:
             ids, keys, sets = [], [], []
             for (doc_id, text), slot in zip(_texts(batch), _bit_slots(batch.column("doc_id").to_numpy(zero_copy_only=False)).tolist()):
-                if bits[slot]:
+                if bits[slot >> 3] >> (7 - (slot & 7)) & 1:
                     tokens = token_set(text, ngram)
                     ids.append(doc_id)
                     keys.append(_set_key(tokens))
@@ -260,7 +263,7 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col:
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     table, frequent = token_levels(rows, ngram)
-    shared = spark.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))
+    shared = spark.sparkContext.broadcast(table)
     base = cut(rows.mapInArrow(_sign(ngram, percent, shared, frequent), "doc_id long, n long, k long, entries array<long>"))
 
     classes = base.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("entries").alias("entries"))
@@ -268,7 +271,7 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col:
     index = classes.select("k", "n", F.explode("entries").alias("entry")).withColumn("lo", F.min("k").over(entry)).withColumn("hi", F.max("k").over(entry))
     index = cut(index.where("lo < hi").select("entry", "k", "n"))
     wanted = cut(index.select("k").distinct().join(base.groupBy("k").agg(F.min("doc_id").alias("doc_id")), "k"))
-    bits = spark.sparkContext.broadcast(zlib.compress(id_bits(wanted).tobytes(), 1))
+    bits = spark.sparkContext.broadcast(id_bits(wanted))
     sets = rows.where("doc_id is not null").mapInArrow(_sets(ngram, bits), "doc_id long, k long, tokens array<long>")
     # rows can share an id, so the key decides; equal rows are one
     sets = cut(sets.join(wanted, ["doc_id", "k"]).groupBy("k").agg(F.first("tokens").alias("tokens")))
