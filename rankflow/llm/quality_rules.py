@@ -40,6 +40,7 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeated 3-word windows are found by sorting one long integer for each window (40 bits of
     its hash, 24 bits of its position); windows whose 40 bits agree are then compared word by
     word, so counts are exact. Texts of 2**24 words and more compare all windows word by word.
+    Keep the result with ``cut`` before filtering on it.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(
@@ -108,8 +109,8 @@ def labelled_cells(stats: DataFrame, labels: DataFrame, bins: int = 16, max_labe
     wanted = labels.select(F.col("doc_id").alias("_id"), F.col(label_col).alias("_label")).where("_id is not null and _label is not null")
     wanted = wanted.orderBy(F.md5(F.col("_id").cast("string")), "_label").limit(max_labelled)
     values = [F.coalesce(F.try_divide(*[F.expr(x).cast("double") for x in e.split(" / ", 1)]), F.lit(0.0)).alias(f) for f, e in FEATURES.items()]
-    rows = stats.where(~base_failed()).join(wanted, F.col("doc_id") == F.col("_id")).select("doc_id", "_label", *values)
-    rows = cut(rows)
+    # cut before the filter: pushed below the statistics it would work them out again and again
+    rows = cut(stats.join(wanted, F.col("doc_id") == F.col("_id"))).where(~base_failed()).select("doc_id", "_label", *values)
     shares = [i / bins for i in range(1, bins)] + [0.97, 0.98, 0.99]
     found = rows.agg(*[F.percentile_approx(f, shares, 1000).alias(f) for f in FEATURES]).first()
     thresholds = {f: sorted({float(x) for x in (found[f] or [])}) for f in FEATURES}
