@@ -128,6 +128,10 @@ class TrieEncoder:
             tokens.reverse()
             self.known[word] = (" ".join(map(str, tokens)), " ".join([self.text_of[t] for t in tokens]))
 
+    def forget(self) -> None:
+        """At a task's end: the worker may run tasks of other operators next."""
+        self.known, self.pairs = {}, {}
+
     def split(self, text: str) -> list[list[str] | str]:
         """Runs of words, and special tokens between them."""
         out: list[list[str] | str] = []
@@ -200,6 +204,7 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             done = code.encode_batch([t for _, t in group])
             ids = [np.array(i.split(), np.int32) for i, _ in done]
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in group], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([t for _, t in done], pa.string())], ["doc_id", "ids", "decoded"])
+        code.forget()
 
     return _rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
@@ -218,5 +223,6 @@ def digest(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 pa.array([hashlib.sha256(t.encode()).hexdigest() for _, t in done]),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        code.forget()
 
     return _rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

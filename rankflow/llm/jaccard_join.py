@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from rankflow.llm.common import cut
 from rankflow.llm.components import components
-from rankflow.llm.substring_dedup import mix, rolling, word_hashes
+from rankflow.llm.substring_dedup import forget, mix, rolling, word_hashes
 
 #: Counters of token frequencies, bits of the table of candidates, and parts in which both are made.
 SLOTS, BITS, PARTS = 1 << 26, 1 << 24, 64
@@ -133,6 +133,7 @@ def _count_slots(ngram: int):
                     waiting, size = [], 0
         if size:
             add()
+        forget()
         for i, part in enumerate(np.split(counts, PARTS)):
             if part.any():
                 yield _packed([(i, part)])
@@ -215,6 +216,7 @@ def _sign(ngram: int, percent: int, shared, frequent: int):
                 entries.append(signatures(tokens, counts, frequent, percent).view(np.int64) if len(tokens) else np.empty(0, np.int64))
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(entries, pa.list_(pa.int64()))], ["doc_id", "n", "k", "entries"])
+        forget()
 
     return run
 
@@ -235,6 +237,7 @@ def _sets(ngram: int, shared):
                     ids, keys, sets = [], [], []
             if ids:
                 yield _set_batch(ids, keys, sets)
+        forget()
 
     return run
 

@@ -53,6 +53,12 @@ class WordHashes(dict):
 _hashes = WordHashes()
 
 
+def forget() -> None:
+    """At a task's end: the worker may run tasks of other operators next."""
+    _hashes.clear()
+    _tables.clear()
+
+
 def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
@@ -121,6 +127,7 @@ def _hash_batches(window: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _documents(batches):
             yield from _send(rows, window, buckets)
+        forget()
 
     return run
 
