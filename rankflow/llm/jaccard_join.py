@@ -22,8 +22,11 @@ what the table lets through by chance a join takes out again.
 
 Groups that share an index entry are not expanded into pairs at once. In star rounds every
 member is compared with one leader of its entry; members that are already connected need no
-further comparison, and the last round compares all pairs of an entry that are still in
-different components. So components are exact.
+further comparison, and the last round compares what is still in different components: pairs in
+entries of few members, and blocks of members in larger ones. Large entries of the same leader
+(their member of least hash) overlap and form one group. A task holds two blocks of a
+group, counts common tokens as a product of two matrices, and emits links that span the blocks'
+components, never pairs. So components are exact.
 """
 
 from __future__ import annotations
@@ -48,6 +51,8 @@ FREQUENT = 256
 #: Sets with at most so many possible misses index pairs of frequent tokens.
 MOST_MISSES = 32
 STAR_ROUNDS = 2
+#: Members up to which the last round compares an entry in pairs; members and tokens of a block beyond; width of a product.
+FEW, BLOCK, BLOCK_TOKENS, WIDTH = 16, 512, 1 << 21, 4096
 BASE = 0x9FB21C651E98DF25
 
 
@@ -253,6 +258,82 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", (F.lit(100) * F.col("same") >= F.lit(percent) * (F.size("ta") + F.size("tb") - F.col("same"))).alias("links"))
 
 
+def _spanning(a: np.ndarray, b: np.ndarray, size: int) -> list[int]:
+    """Indices of those of the links a, b that join what the links before them have not joined."""
+    root, kept = list(range(size)), []
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        if x != y:
+            root[x] = y
+            kept.append(i)
+    return kept
+
+
+def common_tokens(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets on the left with all on the right."""
+    mine, other = np.concatenate(left), np.concatenate(right)
+    shared = np.intersect1d(mine, other)
+    total = np.zeros((len(left), len(right)), np.int64)
+
+    def spots(sets: list[np.ndarray], flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        column = np.searchsorted(shared, flat)
+        column[column == len(shared)] = 0
+        held = shared[column] == flat
+        order = np.argsort(column[held], kind="stable")
+        return np.repeat(np.arange(len(sets)), [len(s) for s in sets])[held][order], column[held][order]
+
+    if not len(shared):
+        return total
+    (row_l, col_l), (row_r, col_r) = spots(left, mine), spots(right, other)
+    for start in range(0, len(shared), WIDTH):
+        tables = []
+        for sets, rows, columns in ((left, row_l, col_l), (right, row_r, col_r)):
+            lo, hi = np.searchsorted(columns, [start, start + WIDTH])
+            table = np.zeros((len(sets), min(WIDTH, len(shared) - start)), np.float32)
+            table[rows[lo:hi], columns[lo:hi] - start] = 1
+            tables.append(table)
+        total += (tables[0] @ tables[1].T).astype(np.int64)  # whole numbers up to WIDTH are exact
+    return total
+
+
+def _block_links(percent: int):
+    def run(rows: pa.Table) -> pa.Table:
+        block, k, c = (rows.column(x).to_numpy() for x in ("block", "k", "c"))
+        sets = [np.asarray(t.values.to_numpy(zero_copy_only=False)) for t in rows.column("tokens")]
+        sizes = np.array([len(t) for t in sets], np.int64)
+        first = block == rows.column("i")[0].as_py()
+        i, j = np.flatnonzero(first), np.flatnonzero(block == rows.column("j")[0].as_py())
+        if not len(i) or not len(j):
+            x = y = np.empty(0, np.int64)
+        else:
+            same = common_tokens([sets[x] for x in i], [sets[y] for y in j])
+            links = (100 * same >= percent * (sizes[i][:, None] + sizes[j][None, :] - same)) & (c[i][:, None] != c[j][None, :])
+            at_i, at_j = np.nonzero(links)
+            x, y = i[at_i], j[at_j]
+            _, node = np.unique(c, return_inverse=True)
+            kept = _spanning(node[x], node[y], len(c))
+            x, y = x[kept], y[kept]
+        return pa.table({"a": pa.array(np.minimum(k[x], k[y]), pa.int64()), "b": pa.array(np.maximum(k[x], k[y]), pa.int64())})
+
+    return run
+
+
+def in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` that join all components ``c`` of a group ``g`` which its members' links join.
+
+    A group is cut into blocks by hash; every two of its blocks, and each with itself, meet in one task.
+    """
+    size = members.groupBy("g").agg(F.count("*").alias("rows"), F.sum("n").alias("all"))
+    size = size.select("g", F.greatest(F.ceil(F.col("rows") / BLOCK), F.ceil(F.col("all") / BLOCK_TOKENS)).cast("int").alias("blocks"))
+    dealt = members.join(size, "g").withColumn("block", F.expr("cast(pmod(xxhash64(k, 'block'), blocks) as int)"))
+    dealt = dealt.withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
+    dealt = dealt.select("g", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "k", "c")
+    return dealt.join(sets, "k").groupBy("g", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: ``doc_id, n_shingles, component_id``.
 
@@ -287,12 +368,14 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col:
         here = index if found is None else index.join(found.select(F.col("node").alias("k"), "component"), "k", "left")
         here = here.withColumn("c", F.col("k") if found is None else F.coalesce("component", "k"))
         here = here.withColumn("least", F.min("c").over(entry)).withColumn("most", F.max("c").over(entry)).where("least < most")
+        leader = F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("h"), "k", "n", "c")).over(entry)
+        here = here.withColumn("l", leader)
         if turn < STAR_ROUNDS:
-            leader = F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("h"), "k", "n", "c")).over(entry)
-            tied = here.withColumn("l", leader).where(f"l.c != c and {alike('l.n', 'n')}")
+            tied = here.where(f"l.c != c and {alike('l.n', 'n')}")
             pairs = tied.select(F.least("k", "l.k").alias("a"), F.greatest("k", "l.k").alias("b"))
         else:
-            x, y = (here.select("entry", F.col("k").alias(f"{s}k"), F.col("n").alias(f"{s}n"), F.col("c").alias(f"{s}c")) for s in "xy")
+            here = cut(here.withColumn("members", F.count("*").over(entry)).select("entry", "k", "n", "c", "members", F.col("l.k").alias("g")))
+            x, y = (here.where(F.col("members") <= FEW).select("entry", F.col("k").alias(f"{s}k"), F.col("n").alias(f"{s}n"), F.col("c").alias(f"{s}c")) for s in "xy")
             pairs = x.join(y, "entry").where(f"xk < yk and xc != yc and {alike('xn', 'yn')}").select(F.col("xk").alias("a"), F.col("yk").alias("b"))
         pairs = pairs.distinct()
         if done is not None:
@@ -300,6 +383,8 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col:
         checked = cut(_verified(pairs, sets, percent))
         linked = checked.where("links").select("a", "b")
         links = linked if links is None else links.union(linked)
+        if turn == STAR_ROUNDS:
+            links = links.union(cut(in_blocks(here.where(F.col("members") > FEW).select("g", "k", "n", "c").distinct(), sets, percent)))
         done = checked.select("a", "b") if done is None else done.union(checked.select("a", "b"))
         found = cut(components(links))
 

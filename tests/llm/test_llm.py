@@ -201,6 +201,32 @@ def test_jaccard_join(docs, texts, ngram, percent, monkeypatch):
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == brute_components(texts, ngram, percent)
 
 
+@pytest.mark.parametrize("stars", [0, 2])
+def test_jaccard_join_in_blocks(spark, stars, monkeypatch):
+    """A large group of near copies, most of which do not link, is joined in blocks as in pairs."""
+    r = random.Random(3)
+    base = [f"w{r.randrange(500)}" for _ in range(120)]
+    texts = ["alone and short"]
+    for _ in range(150):
+        words = list(base)
+        for _ in range(r.randrange(4)):
+            words[r.randrange(len(words))] = f"x{r.randrange(9)}"
+        texts.append(" ".join(words[: r.choice([120, 110, 60])]))
+    monkeypatch.setattr(jaccard_join, "STAR_ROUNDS", stars)
+    monkeypatch.setattr(jaccard_join, "FEW", 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 40)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = rows_of(jaccard_join.near_duplicates(docs, 3, 90))
+    assert {i: (x.n_shingles, x.component_id) for i, x in got.items()} == brute_components(texts, 3, 90)
+
+
+def test_common_tokens(monkeypatch):
+    monkeypatch.setattr(jaccard_join, "WIDTH", 7)
+    r = np.random.default_rng(1)
+    left, right = ([np.sort(r.choice(60, r.integers(1, 30), replace=False)) for _ in range(n)] for n in (9, 5))
+    assert (jaccard_join.common_tokens(left, right) == [[len(np.intersect1d(a, b)) for b in right] for a in left]).all()
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_signatures_meet_for_all_similar_sets(percent):
     """Pairs at or above the threshold share an index entry, whatever is frequent."""
