@@ -265,7 +265,7 @@ def vec_multiplies(spark, sf_dir):
 u AS (SELECT p, unnest(w) AS value, unnest(range(len(w))) AS i FROM p)
 SELECT row_number() OVER (ORDER BY p, i) - 1 AS pos, value FROM u""")
 def vec_concat(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("conv_id < 50").select("conv_id", "turn", F.split("text", " ", -1).alias("words"))
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.split("text", " ", -1).alias("words"))
     return reducing.vec_concat(Seq.from_df(rows, ["conv_id", "turn"]), "words").df
 
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from rankflow import queries
 from rankflow.functions import reducers as R
 from rankflow.operators import compose, filtering, mapping, ordering, reducing, scanning, searching
 from rankflow.plans.policy import Policy
@@ -191,3 +192,11 @@ def test_plans(spark):
     for bad in ((0, None), (4, 5), (4, 0)):
         with pytest.raises(ValueError):
             Policy(*bad)
+
+
+def test_vec_concat_query_reads_all_conversations(spark, tmp_path):
+    rows = [(c, t, f"c{c} t{t}" + " x" * (c % 3)) for c in range(120) for t in range(1 + c % 2)]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(5).write.parquet(str(tmp_path / "conversations.parquet"))
+    want = [w for _, _, text in sorted(rows) for w in text.split(" ")]
+    got = queries.QUERIES["vec_concat"](spark, str(tmp_path)).orderBy("pos").collect()
+    assert [r.pos for r in got] == list(range(len(want))) and [r.value for r in got] == want
