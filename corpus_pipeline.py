@@ -11,9 +11,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rankflow.llm import bpe_trie, jaccard_join, mixing, quality_classifier, substring_dedup
-from rankflow.llm.common import shared_folder, table
+from rankflow.llm.common import cut, shared_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +24,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five words, four fifths) the document with the least id stays."""
-    found = jaccard_join.near_duplicates(docs, ngram=5, percent=80)
-    return docs.join(found.where("component_id < doc_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near-duplicate rows (five words, four fifths) the one with the least id stays.
+
+    Rows are told apart by a 64-bit hash of all their columns, not by their id: of repeated rows one
+    stays, rows that share an id but not their text are judged each, and rows without an id come
+    after all others. Of equal ids the least hash stays. Wordless texts have no duplicates.
+    """
+    marked = docs.withColumn("_row", F.xxhash64(*[x for c in docs.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]))
+    found = jaccard_join.near_duplicates(marked, ngram=5, percent=80, id_col="_row")
+    group = found.where("n_shingles > 0").groupBy(F.col("doc_id").alias("_row")).agg(F.min("component_id").alias("group"), F.count("*").alias("copies"))
+    members = cut(marked.groupBy("_row").agg(F.min("doc_id").alias("id")).join(group, "_row"))
+    stays = members.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "_row", "copies")).alias("first"))
+    stays = cut(stays.select("first._row", "first.copies"))
+    rows = marked.join(members.select("_row").join(stays, "_row", "left_anti"), "_row", "left_anti")
+    repeated = stays.where("copies > 1").select("_row")
+    if repeated.isEmpty():
+        return rows.select(*docs.columns)
+    return rows.join(repeated, "_row", "left_anti").unionByName(rows.join(repeated, "_row", "left_semi").dropDuplicates(["_row"])).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -442,3 +442,15 @@ def test_pipeline(spark, tmp_path):
             assert docs.count() == before.count()
     assert docs.count() > 0
     assert corpus_pipeline.run(spark, d).count() == docs.count()
+
+
+def test_near_duplicates_by_row(spark):
+    """Repeated rows, ids that different texts share, and rows without an id."""
+    a, b, c, d = (prose(900 + i, 60, 10_000) for i in range(4))
+    rows = [(1, a, "x"), (2, b, "x"), (2, a, "x"), (3, c, "x"), (3, c, "x"), (None, c, "x"), (None, d, "x"), (None, d, "x"), (None, d, None), (4, " ", "x"), (4, " ", "x"), (None, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    kept = Counter((r.doc_id, r.text) for r in got.collect())
+    assert kept == Counter([(1, a), (2, b), (3, c), (None, d), (4, " "), (4, " "), (None, None)])
+    assert Counter(got.collect()) == Counter(corpus_pipeline.near_duplicates(spark, docs.repartition(5), "").collect())
