@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from rankflow.llm.common import cut, words_of
 
+#: Bits of a window's position in its packed integer; the rest are bits of its hash.
+PLACE_BITS = 24
 #: Letters of conditions on statistics; all are quotients, so that long and short texts compare.
 FEATURES = {
     "mean_word_chars": "word_chars / n_words",
@@ -42,6 +44,7 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     word, so counts are exact. Texts of 2**24 words and more compare all windows word by word.
     Keep the result with ``cut`` before filtering on it.
     """
+    long, hashed = 1 << PLACE_BITS, f"{-(1 << PLACE_BITS)}L"
     text = F.coalesce(F.col(text_col), F.lit(""))
     base = docs.select(
         F.col(id_col).alias("doc_id"),
@@ -57,14 +60,15 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         F.size("_lines").cast("long").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.expr("""CASE WHEN size(_w) < 4 THEN cast(array() AS array<bigint>)
-            WHEN size(_w) >= 16777216 THEN transform(sequence(0, size(_w) - 3), i -> cast(i AS bigint))
-            ELSE sort_array(transform(sequence(0, size(_w) - 3), i -> (xxhash64(_w[i], _w[i + 1], _w[i + 2]) & -16777216L) | i)) END""").alias("_packed"),
+        F.expr(f"""CASE WHEN size(_w) < 4 THEN cast(array() AS array<bigint>)
+            WHEN size(_w) >= {long} THEN transform(sequence(0, size(_w) - 3), i -> cast(i AS bigint))
+            ELSE sort_array(transform(sequence(0, size(_w) - 3), i -> (xxhash64(_w[i], _w[i + 1], _w[i + 2]) & {hashed}) | i)) END""").alias("_packed"),
     ).drop("_lines")
     # positions whose neighbour in the order has the same 40 bits
-    base = base.select("*", F.expr("""CASE WHEN size(_w) >= 16777216 THEN _packed ELSE filter(_packed, (v, j) ->
-        (j > 0 AND ((v ^ _packed[greatest(j - 1, 0)]) & -16777216L) = 0L) OR (j < size(_packed) - 1 AND ((v ^ _packed[least(j + 1, size(_packed) - 1)]) & -16777216L) = 0L)) END""").alias("_near")).drop("_packed")
-    base = base.select("*", F.expr("""array_sort(transform(_near, v -> named_struct('t', concat_ws(' ', _w[cast(v & 16777215L AS int)], _w[cast(v & 16777215L AS int) + 1], _w[cast(v & 16777215L AS int) + 2]), 'i', cast(v & 16777215L AS int))))""").alias("_sorted")).drop("_near", "_w")
+    base = base.select("*", F.expr(f"""CASE WHEN size(_w) >= {long} THEN _packed ELSE filter(_packed, (v, j) ->
+        (j > 0 AND ((v ^ _packed[greatest(j - 1, 0)]) & {hashed}) = 0L) OR (j < size(_packed) - 1 AND ((v ^ _packed[least(j + 1, size(_packed) - 1)]) & {hashed}) = 0L)) END""").alias("_near")).drop("_packed")
+    place = f"if(size(_w) >= {long}, cast(v AS int), cast(v & {long - 1}L AS int))"
+    base = base.select("*", F.expr(f"array_sort(transform(_near, v -> named_struct('t', concat_ws(' ', _w[{place}], _w[{place} + 1], _w[{place} + 2]), 'i', {place})))").alias("_sorted")).drop("_near", "_w")
     base = base.select("*", F.expr("""array_sort(transform(filter(_sorted, (v, j) ->
         (j > 0 AND v.t = _sorted[greatest(j - 1, 0)].t) OR (j < size(_sorted) - 1 AND v.t = _sorted[least(j + 1, size(_sorted) - 1)].t)), v -> v.i))""").alias("_starts")).drop("_sorted")
     # each repeated window adds its words that the next one does not start with

@@ -115,6 +115,17 @@ def test_text_stats(docs, texts):
         assert (got[i].n_words, got[i].word_chars, got[i].n_symbols, got[i].n_dup_lines, got[i].n_repeat_words) == want
 
 
+def test_text_stats_of_long_texts(spark, monkeypatch):
+    """Texts whose positions do not fit the packed integer, by a lowered bound."""
+    monkeypatch.setattr(quality_rules, "PLACE_BITS", 5)
+    long = [" ".join(f"u{i}" for i in range(90)), " ".join(f"u{i}" for i in [*range(60), *range(50, 60), *range(3)]), prose(8, 200, 6), prose(9, 31, 3), prose(9, 32, 3)]
+    got = rows_of(quality_rules.text_stats(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")))
+    for i, t in enumerate(long):
+        w = t.split()
+        grams = Counter(zip(w, w[1:], w[2:]))
+        assert got[i].n_repeat_words == len({j for s in range(len(w) - 2) if grams[tuple(w[s : s + 3])] > 1 for j in (s, s + 1, s + 2)}), i
+
+
 def test_rules_learn_thresholds(spark):
     rows = [(i, prose(i, 100, 5000) + (" ***" * 30 if i % 4 == 0 else ""), int(i % 4 != 0)) for i in range(240)]
     df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
