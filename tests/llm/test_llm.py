@@ -382,6 +382,23 @@ def test_classifier(spark):
     assert quality_classifier.train(df, labels.where("quality = 1")) is None
 
 
+def test_classifier_uses_the_whole_pool(spark):
+    """A source of which only the last documents by hash are, none of them labelled: the text view teaches the metadata view."""
+    ids = sorted(range(1000, 9500), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    assert len(ids) - 50 > 8000
+    rare = set(ids[-50:])
+    good, junk = [prose(i, 40) for i in range(20)], ["*** $$$ " * (10 + i) for i in range(20)]
+    rows = [(i, junk[i % 20], "rare") if i in rare else (i, (good if i % 3 else junk)[i % 20], f"s{i % 3 if i % 10 else i % 4}") for i in [*range(300), *ids]]
+    df = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(300)], "doc_id long, quality int")
+    model = quality_classifier.train(df, labels)
+    ask = spark.createDataFrame([(0, "x", "en", "rare", 300), (1, "x", "en", "never seen", 300)], df.schema)
+    got = rows_of(quality_classifier.score(ask, model))
+    assert got[0].meta_score < got[1].meta_score - 0.1
+    again = rows_of(quality_classifier.score(ask, quality_classifier.train(df.repartition(3), labels)))
+    assert all(abs(got[i].score - again[i].score) < 1e-6 for i in got)
+
+
 def test_classifier_on_given_labels(spark):
     """Held-out accuracy: trained on the labels of even ids, judged on those of odd ones."""
     d = "/root/testdata/sf0.01"
