@@ -2,9 +2,9 @@ r"""Chat formatting with schema fingerprints.
 
 Conversations come in many layouts: one row for each turn, arrays of messages, prompt and
 response columns, instructions with inputs. ``fingerprint`` hashes the sorted nested field
-paths of a schema, of those fields that any layout uses; ``LAYOUTS`` holds a declarative
-mapping (SQL expressions) for each known fingerprint. ``canonical_turns`` picks the mapping
-and returns turn rows, ``format_chat`` writes the template and ``read_chat`` reads it back.
+paths of a layout; ``LAYOUTS`` holds a declarative mapping (SQL expressions) for each. A
+table can hold the fields of several layouts, and others; ``canonical_turns`` picks the mapping
+of each row and returns turn rows, ``format_chat`` writes the template and ``read_chat`` reads it back.
 
 Template of a turn: ``<|im_start|>role\ntext<|im_end|>\n``. Control strings inside a text or
 role are escaped by one more backslash after their ``<``, which reading takes away again, so
@@ -17,9 +17,11 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,32 +77,52 @@ _LAYOUTS = (
     Layout("instruction with input", ("input", "instruction", "output"), f"array({_turn(chr(39) + 'user' + chr(39), _ASK)}, {_turn(chr(39) + 'assistant' + chr(39), 'output')})"),
 )
 LAYOUTS = {x.key: x for x in _LAYOUTS}
-_USED = {p for x in _LAYOUTS for p in x.paths}
+_TURNS = "array<struct<role: string, text: string>>"
 
 
-def find_layout(schema: T.StructType) -> Layout:
-    """The layout of a schema; fields that no layout uses do not count.
+def find_layouts(schema: T.StructType) -> list[Layout]:
+    """All layouts whose fields a schema has, those with more fields first; fields beyond do not count.
 
-    A schema that holds the fields of several layouts is ambiguous and, like an unknown one,
-    raises ValueError.
+    A schema that has the fields of none raises ValueError.
     """
-    key = fingerprint([p for p in field_paths(schema) if p in _USED])
-    if key not in LAYOUTS:
-        raise ValueError(f"no layout has the fingerprint {key} of {field_paths(schema)}")
-    return LAYOUTS[key]
+    paths = set(field_paths(schema))
+    found = sorted((x for x in LAYOUTS.values() if paths.issuperset(x.paths)), key=lambda x: -len(x.paths))
+    if not found:
+        raise ValueError(f"no layout has the fingerprint {fingerprint(sorted(paths))} of {sorted(paths)}")
+    return found
+
+
+def find_layout(schema: T.StructType) -> Layout:
+    """The first of the layouts of a schema."""
+    return find_layouts(schema)[0]
+
+
+def _columns(layout: Layout) -> list[Column]:
+    """The table's columns that a layout reads."""
+    return [F.col(f"`{c}`") for c in dict.fromkeys(re.split(r"[.\[]", p)[0] for p in layout.paths)]
 
 
 def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """Turn rows ``conv_id, turn, role, text`` of a table in any known layout.
+    """Turn rows ``conv_id, turn, role, text`` of a table in any known layouts.
 
+    A row is read by the first of the table's layouts (see ``find_layouts``) of which it has no
+    column null; if there is none, by the first of which it has a column that is not null, or else by the first.
     Null roles and texts become empty, null or empty message arrays give no turn, role names
     of other layouts are put in the common words. Columns of other names are ignored.
     """
-    layout = find_layout(df.schema)
-    rows = df.select(F.col(id_col).alias("_id"), (F.expr(layout.turn) if layout.turn else F.lit(0)).cast("long").alias("_turn"), F.posexplode(F.expr(layout.turns)).alias("_pos", "_row"))
+    layouts = find_layouts(df.schema)
+    held = [[c.isNotNull() for c in _columns(x)] for x in layouts]
+    use = F.coalesce(*[F.when(reduce(op, h), F.lit(i)) for op in (and_, or_) for i, h in enumerate(held)], F.lit(0)) if len(layouts) > 1 else F.lit(0)
+
+    def by_row(values: list[Column]) -> Column:
+        return reduce(lambda rest, i: F.when(F.col("_use") == i, values[i]).otherwise(rest), range(1, len(values)), values[0])
+
+    turn = by_row([(F.expr(x.turn) if x.turn else F.lit(0)).cast("long") for x in layouts])
+    turns = by_row([F.expr(x.turns).cast(_TURNS) for x in layouts])
+    rows = df.withColumn("_use", use).select(F.col(id_col).alias("_id"), turn.alias("_turn"), by_row([F.lit(x.turn is None) for x in layouts]).alias("_renamed"), F.posexplode(turns).alias("_pos", "_row"))
     role = F.coalesce(F.col("_row.role"), F.lit(""))
     for other, common in ROLES.items():
-        role = F.when(role == other, F.lit(common)).otherwise(role) if layout.turn is None else role
+        role = F.when(F.col("_renamed") & (role == other), F.lit(common)).otherwise(role)
     return rows.select(F.col("_id").alias("conv_id"), (F.col("_turn") + F.col("_pos")).alias("turn"), role.alias("role"), F.coalesce(F.col("_row.text"), F.lit("")).alias("text"))
 
 

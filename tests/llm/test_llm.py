@@ -310,6 +310,29 @@ def test_chat_layouts(spark):
         chat.canonical_turns(spark.createDataFrame([(1, "x")], "conv_id long, other string"))
 
 
+def test_chat_clashing_columns_and_mixed_layouts(spark):
+    def turns(schema, *rows):
+        return [(t.conv_id, t.turn, t.role, t.text) for t in chat.canonical_turns(spark.createDataFrame(list(rows), schema)).orderBy("conv_id", "turn").collect()]
+
+    for name in ("input", "prompt", "output", "response", "completion", "instruction"):
+        assert turns(f"conv_id long, turn long, role string, text string, {name} string", (1, 3, "gpt", "q", "clash"), (1, 4, None, None, "clash")) == [(1, 3, "gpt", "q"), (1, 4, "", "")]
+    mixed = "conv_id long, turn long, role string, text string, messages array<struct<role: string, content: string>>, prompt string, response string, input int"
+    rows = [
+        (1, 5, "gpt", "q", None, None, None, 1),
+        (2, None, None, None, [("human", "q"), ("gpt", "r")], None, None, 1),
+        (3, None, None, None, None, "q", "r", 1),
+        (4, 2, "user", "most fields first", [("human", "no")], "no", "no", 1),
+        (5, None, None, None, [("human", "before prompts")], "no", "no", 1),
+        (6, None, "no", None, None, "whole before part", "r", None),
+        (7, 8, None, "part", None, None, None, None),
+        (8, None, None, None, None, "part", None, None),
+    ]
+    assert turns(mixed, *rows) == [
+        (1, 5, "gpt", "q"), (2, 0, "user", "q"), (2, 1, "assistant", "r"), (3, 0, "user", "q"), (3, 1, "assistant", "r"), (4, 2, "user", "most fields first"),
+        (5, 0, "user", "before prompts"), (6, 0, "user", "whole before part"), (6, 1, "assistant", "r"), (7, 8, "", "part"), (8, 0, "user", "part"), (8, 1, "assistant", ""),
+    ]
+
+
 def test_long_conversations_come_in_parts(spark, monkeypatch):
     monkeypatch.setattr(chat, "PART_CHARS", 100)
     parts = list(chat._format(iter(spark.createDataFrame([(1, "user", "x" * 60)] * 7 + [(2, "assistant", "y")], "conv_id long, role string, text string").toArrow().to_batches())))
