@@ -200,3 +200,10 @@ def test_vec_concat_query_reads_all_conversations(spark, tmp_path):
     want = [w for _, _, text in sorted(rows) for w in text.split(" ")]
     got = queries.QUERIES["vec_concat"](spark, str(tmp_path)).orderBy("pos").collect()
     assert [r.pos for r in got] == list(range(len(want))) and [r.value for r in got] == want
+
+
+@pytest.mark.parametrize("odd, want", [(1500, False), (2998, False), (2999, True)])
+def test_equal_prefix_query_reads_all_but_the_last(spark, tmp_path, odd, want):
+    rows = [(i, float("nan") if i == odd else float(i)) for i in range(3000)]  # NaN equals nothing
+    spark.createDataFrame(rows, "event_id long, value double").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    assert one(queries.QUERIES["equal_prefix"](spark, str(tmp_path))) is want
