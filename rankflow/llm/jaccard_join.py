@@ -14,7 +14,7 @@ is handled once. For sets whose Jaccard similarity reaches the threshold:
 * Candidates are verified on the exact sets.
 
 Frequencies are counted over all documents in a table of fixed size (SLOTS counters, a
-token adds to the counter of its hash), which is broadcast in one byte for each counter. Any
+token adds to the counter of its hash; no count is capped), which is broadcast in one byte for each counter, its level. Any
 common order is right; the counts only make it a good one: the more tokens share a counter, the
 more candidates are compared in vain. Which documents have candidates at
 all is told to the scan by a bit table of fixed size, so only their sets are shuffled;
@@ -121,13 +121,21 @@ def _packed(parts: Iterator[tuple[int, np.ndarray]]) -> pa.RecordBatch:
 PACKED = "part int, table binary"
 
 
+COUNTED = "part int, table binary, slots binary, above binary"
+
+
 def _count_slots(ngram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, waiting, size = np.zeros(SLOTS, np.uint8), [], 0  # a task counts to 255
+        counts, waiting, size = np.zeros(SLOTS, np.uint8), [], 0
+        above: dict[int, int] = {}  # what the few counters that are full have counted beyond 255
 
         def add() -> None:
             slots, n = np.unique(np.concatenate(waiting), return_counts=True)
-            counts[slots] = np.minimum(255, counts[slots] + n)
+            total = counts[slots] + n
+            full = total > 255
+            for slot, more in zip(slots[full].tolist(), (total[full] - 255).tolist()):
+                above[slot] = above.get(slot, 0) + more
+            counts[slots] = np.minimum(255, total)
 
         for batch in batches:
             for _, text in _texts(batch):
@@ -139,9 +147,13 @@ def _count_slots(ngram: int):
         if size:
             add()
         forget()
+        slots = np.sort(np.fromiter(above, np.int64, len(above)))
+        more, width = np.array([above[s] for s in slots.tolist()], np.int64), SLOTS // PARTS
         for i, part in enumerate(np.split(counts, PARTS)):
             if part.any():
-                yield _packed([(i, part)])
+                lo, hi = np.searchsorted(slots, [i * width, (i + 1) * width])
+                packed = [zlib.compress(x.tobytes(), 1) for x in (part, slots[lo:hi] - i * width, more[lo:hi])]
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], ["part", "table", "slots", "above"])
 
     return run
 
@@ -149,8 +161,10 @@ def _count_slots(ngram: int):
 def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for part, blob in zip(batch.column("part").to_pylist(), batch.column("table")):
-            sums[part] = sums.get(part, 0) + np.frombuffer(zlib.decompress(blob.as_py()), np.uint8).astype(np.int64)
+        for part, *blobs in zip(batch.column("part").to_pylist(), *(batch.column(c) for c in ("table", "slots", "above"))):
+            table, slots, above = (np.frombuffer(zlib.decompress(x.as_py()), kind) for x, kind in zip(blobs, (np.uint8, np.int64, np.int64)))
+            sums[part] = sums.get(part, 0) + table.astype(np.int64)
+            sums[part][slots] += above
     for part, counts in sums.items():
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(levels(counts).tobytes(), 1)], pa.binary()), pa.array([int(counts.sum())], pa.int64())], ["part", "table", "total"])
 
@@ -160,7 +174,7 @@ def token_levels(rows: DataFrame, ngram: int) -> tuple[list[tuple[int, bytes]],
 
     PARTS compressed tables of fixed size pass through the driver.
     """
-    parts = rows.mapInArrow(_count_slots(ngram), PACKED).repartition(PARTS, "part").mapInArrow(_add_counts, PACKED + ", total long").collect()
+    parts = rows.mapInArrow(_count_slots(ngram), COUNTED).repartition(PARTS, "part").mapInArrow(_add_counts, PACKED + ", total long").collect()
     mean = sum(p.total for p in parts) / SLOTS
     return [(p.part, bytes(p.table)) for p in parts], int(levels(np.array(2 * mean + FREQUENT)))
 

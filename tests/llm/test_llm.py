@@ -238,6 +238,15 @@ def test_common_tokens(monkeypatch):
     assert (jaccard_join.common_tokens(left, right) == [[len(np.intersect1d(a, b)) for b in right] for a in left]).all()
 
 
+def test_token_levels_do_not_depend_on_partitions(spark):
+    """A token that one task alone sees more than 255 times is counted in full."""
+    df = spark.createDataFrame([(i, f"a b c d{i % 3}") for i in range(3000)], "doc_id long, text string")
+    (one, limit), (many, again) = (jaccard_join.token_levels(df.selectExpr("doc_id", "cast(text as binary) text").repartition(n), 3) for n in (1, 20))
+    tables = [jaccard_join.unpacked(x, jaccard_join.SLOTS) for x in (one, many)]
+    assert limit == again and np.array_equal(*tables)
+    assert sorted(tables[0][tables[0] > 0]) == sorted(jaccard_join.levels(np.array([1000, 1000, 1000, 3000]))) and limit < tables[0].max()
+
+
 @pytest.mark.parametrize("percent", [80, 90])
 def test_signatures_meet_for_all_similar_sets(percent):
     """Pairs at or above the threshold share an index entry, whatever is frequent."""
