@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from rankflow.llm import bpe_trie, jaccard_join, mixing, quality_classifier, substring_dedup
 from rankflow.llm.common import cut, shared_folder, table
 
+#: Hashes of rows up to which a list of them is broadcast; a longer one is joined by shuffle.
+MOST_SENT = 1 << 18
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go."""
@@ -36,7 +39,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     members = cut(marked.groupBy("_row").agg(F.min("doc_id").alias("id")).join(group, "_row"))
     stays = members.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "_row", "copies")).alias("first"))
     stays = cut(stays.select("first._row", "first.copies"))
-    rows = marked.join(members.select("_row").join(stays, "_row", "left_anti"), "_row", "left_anti")
+    gone = cut(members.select("_row").join(stays, "_row", "left_anti"))
+    gone = F.broadcast(gone) if gone.count() <= MOST_SENT else gone  # texts are not shuffled for a short list
+    rows = marked.join(gone, "_row", "left_anti")
     repeated = stays.where("copies > 1").select("_row")
     if repeated.isEmpty():
         return rows.select(*docs.columns)
