@@ -8,7 +8,8 @@ away and the next rule is learned. ``decision`` turns the list into one ordered
 expression, so scoring is a projection without a shuffle.
 
 Learning needs only counts: labelled rows are put in bins between candidate thresholds and
-counted by Spark, and the covering runs over these cells.
+counted by Spark, and the covering runs over these cells. Labelled documents are measured ahead of
+the others; all documents are then measured and judged in one projection, and no table of all of them is kept.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankflow.llm.common import cut, words_of
+from rankflow.llm.common import cut, set_up, words_of
 
 #: Bits of a window's position in its packed integer; the rest are bits of its hash.
 PLACE_BITS = 24
@@ -42,7 +43,7 @@ def text_stats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeated 3-word windows are found by sorting one long integer for each window (40 bits of
     its hash, 24 bits of its position); windows whose 40 bits agree are then compared word by
     word, so counts are exact. Texts of 2**24 words and more compare all windows word by word.
-    Keep the result with ``cut`` before filtering on it.
+    Other columns, whatever their names, are ignored. Keep the result with ``cut`` before filtering on it.
     """
     long, hashed = 1 << PLACE_BITS, f"{-(1 << PLACE_BITS)}L"
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -104,22 +105,34 @@ def decision(rules: list[Rule]) -> Column:
     return F.lit(True) if kept is None else kept.otherwise(F.lit(True))
 
 
-def labelled_cells(stats: DataFrame, labels: DataFrame, bins: int = 16, max_labelled: int = 100_000, label_col: str = "quality") -> tuple[dict[str, list[float]], dict]:
-    """Candidate thresholds of each feature, and labelled rows counted by bins.
+def labelled_stats(docs: DataFrame, labels: DataFrame, max_labelled: int = 100_000, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Statistics of labelled documents with their ``_label``, kept in the shared folder.
 
-    At most ``max_labelled`` labelled rows count, chosen by the hash of their id; so there
-    are at most as many cells. Rows without an id or a label are left out.
+    At most ``max_labelled`` labels count, chosen by the hash of their id, and as many rows, if documents repeat an id
+    by their statistics. Rows without an id or a label are left out.
     """
     wanted = labels.select(F.col("doc_id").alias("_id"), F.col(label_col).alias("_label")).where("_id is not null and _label is not null")
-    wanted = wanted.orderBy(F.md5(F.col("_id").cast("string")), "_label").limit(max_labelled)
+    chosen = F.md5(F.col("_id").cast("string"))
+    wanted = wanted.orderBy(chosen, "_label").limit(max_labelled)
+    some = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(wanted), "_id")  # max_labelled rows at most
+    # an id goes through the statistics with its label
+    stats = text_stats(some.select(F.struct("_id", "_label").alias("_known"), "_text"), "_known", "_text")
+    stats = stats.select(F.col("doc_id._id").alias("_id"), F.col("doc_id._label").alias("_label"), *stats.columns[1:])
+    return cut(stats.orderBy(chosen, *stats.columns).limit(max_labelled))
+
+
+def labelled_cells(stats: DataFrame, bins: int = 16) -> tuple[dict[str, list[float]], dict]:
+    """Candidate thresholds of each feature, and the rows of :func:`labelled_stats` counted by bins.
+
+    There are at most as many cells as rows.
+    """
     values = [F.coalesce(F.try_divide(*[F.expr(x).cast("double") for x in e.split(" / ", 1)]), F.lit(0.0)).alias(f) for f, e in FEATURES.items()]
-    # cut before the filter: pushed below the statistics it would work them out again and again
-    rows = cut(stats.join(wanted, F.col("doc_id") == F.col("_id"))).where(~base_failed()).select("doc_id", "_label", *values)
+    rows = stats.where(~base_failed()).select("_id", "_label", *values)
     shares = [i / bins for i in range(1, bins)] + [0.97, 0.98, 0.99]
     found = rows.agg(*[F.percentile_approx(f, shares, 1000).alias(f) for f in FEATURES]).first()
     thresholds = {f: sorted({float(x) for x in (found[f] or [])}) for f in FEATURES}
     binned = [sum(((F.col(f) > t).cast("int") for t in thresholds[f]), F.lit(0)).alias(f) for f in FEATURES]
-    held = (F.conv(F.substring(F.md5(F.concat(F.lit("prune"), F.col("doc_id").cast("string"))), 1, 4), 16, 10).cast("int") % 3 == 0).alias("held")
+    held = (F.conv(F.substring(F.md5(F.concat(F.lit("prune"), F.col("_id").cast("string"))), 1, 4), 16, 10).cast("int") % 3 == 0).alias("held")
     counted = rows.select(held, (F.col("_label") == 0).alias("bad"), *binned).groupBy("held", "bad", *FEATURES).count().collect()  # max_labelled rows at most
     cells: dict = {True: Counter(), False: Counter()}
     for r in counted:
@@ -137,14 +150,14 @@ def _counts(cells: Counter) -> tuple[int, int]:
     return bad, sum(cells.values()) - bad
 
 
-def learn_rules(stats: DataFrame, labels: DataFrame, bins: int = 16, max_labelled: int = 100_000, max_rules: int = 12, max_conditions: int = 3, least_precision: float = 0.95, least_rows: int = 5) -> list[Rule]:
-    """Learn rules for bad rows (label 0), most certain first.
+def learn_rules(stats: DataFrame, bins: int = 16, max_rules: int = 12, max_conditions: int = 3, least_precision: float = 0.95, least_rows: int = 5) -> list[Rule]:
+    """Learn rules for bad rows (label 0) from :func:`labelled_stats`, most certain first.
 
     A rule stays only if at least ``least_rows`` of the pruning rows meet it and
     ``least_precision`` of these are bad: clean documents that no certain rule covers are
     kept. Without labels of both kinds the list is empty and everything is kept.
     """
-    thresholds, cells = labelled_cells(stats, labels, bins, max_labelled)
+    thresholds, cells = labelled_cells(stats, bins)
     names = list(FEATURES)
     grow, held, rules = cells[False], cells[True], []
     while len(rules) < max_rules:
@@ -189,14 +202,13 @@ def learn_rules(stats: DataFrame, labels: DataFrame, bins: int = 16, max_labelle
     return rules
 
 
-def apply_rules(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+def apply_rules(docs: DataFrame, labels: DataFrame, max_labelled: int = 100_000, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Statistics, ``base_failed`` and ``kept`` of every document.
 
-    ``kept`` is false where the base rule fails, else the learned list's verdict. The
-    statistics are measured once and kept in the shared folder, as learning and
-    scoring both read them. Nulls and empty tables: see :func:`text_stats` and
-    :func:`learn_rules`.
+    ``kept`` is false where the base rule fails, else the learned list's verdict. Repeated rows and rows without an id are
+    measured and judged each; without labels the list is empty. Nulls, empty tables and other columns: see :func:`text_stats`,
+    :func:`labelled_stats` and :func:`learn_rules`.
     """
-    stats = cut(text_stats(docs))
-    rules = learn_rules(stats, labels, **options)
-    return stats.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & decision(rules))
+    set_up(docs.sparkSession)
+    rules = learn_rules(labelled_stats(docs, labels, max_labelled, label_col, id_col, text_col), **options)
+    return text_stats(docs, id_col, text_col).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & decision(rules))
