@@ -31,6 +31,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankflow.llm.common import map_arrow
+
 #: Odd bases of the two rolling hashes and the odd multipliers that mix them.
 BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 MIX_1, MIX_2 = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53
@@ -270,13 +272,13 @@ def _with_places(docs: DataFrame, id_col: str, text_col: str, window: int) -> Da
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
     key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
     texts = docs.where(F.col(text_col).isNotNull()).select(key.alias("key"), F.col(text_col).cast("binary").alias("text"))
-    sent = texts.mapInArrow(_hash_batches(window, buckets), "bucket int, known boolean, blob binary")
+    sent = map_arrow(texts, _hash_batches(window, buckets), "bucket int, known boolean, blob binary")
     # known repeats go on to their route; a task counts its buckets one after the other
-    dealt = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    places = dealt.mapInArrow(_count(buckets), "_route int, _blob binary")
+    dealt = sent.repartitionById(buckets, "bucket").sortWithinPartitions("bucket")
+    places = map_arrow(dealt, _count(buckets), "_route int, _blob binary")
     rows = docs.select(F.pmod(key, F.lit(buckets)).cast("int").alias("_route"), key.alias("_key"), F.lit(None).cast("binary").alias("_blob"), *docs.columns)
     rows = rows.unionByName(places, allowMissingColumns=True)
-    return rows.repartition(buckets, "_route").sortWithinPartitions("_route", F.col("_blob").isNull())
+    return rows.repartitionById(buckets, "_route").sortWithinPartitions("_route", F.col("_blob").isNull())
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[list[np.ndarray]]]]:
@@ -318,29 +320,30 @@ def digest(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col:
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = _with_places(rows, "doc_id", "text", window).withColumn("text", F.col("text").cast("binary"))
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return map_arrow(rows, run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with the repeated windows' words cut out of the texts.
 
     A removed word goes with the white space behind it; all else of a text stays as it
-    is. Rows and columns stay; a document may end up empty. Columns must not be named ``_route``,
-    ``_key`` or ``_blob``. Nulls and repeated rows: see :func:`digest`.
+    is. Rows and columns stay, whatever their names; a document may end up empty. Nulls and repeated rows: see
+    :func:`digest`.
     """
     word = re.compile(rb"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
-    names, schema = docs.columns, docs.schema
+    names, schema = [f"c{i}" for i in range(len(docs.columns))], docs.schema  # the operator's own columns start with _
+    at_id, at_text = docs.columns.index(id_col), docs.columns.index(text_col)
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, found in _gather(batches):
             texts = []
-            for text, places in zip(batch.column(text_col).to_pylist(), found):
+            for text, places in zip(batch.column(names[at_text]).to_pylist(), found):
                 if places:
                     raw = text.encode()
                     spans = [m.span() for m in word.finditer(raw)]
                     gone = removed_mask(len(spans), places, window).tolist()
                     text = (raw[: spans[0][0]] + b"".join(raw[a:b] for (a, b), g in zip(spans, gone) if not g)).decode()
                 texts.append(text)
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in names], names)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == at_text else batch.column(c) for i, c in enumerate(names)], schema.names)
 
-    return _with_places(docs, id_col, text_col, window).mapInArrow(cut_out, schema)
+    return map_arrow(_with_places(docs.toDF(*names), names[at_id], names[at_text], window), cut_out, schema)
