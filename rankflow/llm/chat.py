@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rankflow.llm.common import map_arrow
+
 START, END = "<|im_start|>", "<|im_end|>"
 _PLAIN = re.compile(r"<(\\*)\|im_(start|end)\|>")
 _ESCAPED = re.compile(r"<\\(\\*)\|im_(start|end)\|>")
@@ -179,7 +181,7 @@ def format_chat(turns: DataFrame) -> DataFrame:
     """
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.mapInArrow(_format, FORMATTED)
+    return map_arrow(rows, _format, FORMATTED)
 
 
 READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -195,13 +197,16 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
         return pa.RecordBatch.from_pylist(done, schema=schema)
 
-    now, done = None, []
+    now, done, parts = None, [], 0
     for batch in batches:
         for row in batch.to_pylist():
-            if row["part"] == 0:
+            if now is None or row["conv_id"] != now["conv_id"]:
                 if now is not None:
                     done.append(now)
-                now = fresh(row["conv_id"])
+                now, parts = fresh(row["conv_id"]), 0
+            if row["part"] != parts:
+                raise ValueError(f"conversation {row['conv_id']}: part {parts} is missing or part {row['part']} comes twice")
+            parts += 1
             text, at = row["formatted"], 0
             for m in _TURN.finditer(text):
                 if m.start() != at:
@@ -224,5 +229,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_chat(formatted: DataFrame) -> DataFrame:
-    """Digests of conversations, read from the rows of ``format_chat`` in their order."""
-    return formatted.mapInArrow(_read, READ)
+    """Digests of conversations, read from the rows of ``format_chat`` in any order.
+
+    A conversation's parts are sorted and streamed; a missing or repeated part raises ValueError. Other columns are ignored,
+    an empty table gives an empty result.
+    """
+    rows = formatted.select("conv_id", "part", "formatted", "loss_spans")
+    return map_arrow(rows.repartition("conv_id").sortWithinPartitions("conv_id", "part"), _read, READ)
