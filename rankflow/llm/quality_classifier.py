@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankflow.llm.common import cut
+from rankflow.llm.common import cut, map_arrow
 
 #: Kinds of bytes: 0 other, 1 lower, 2 upper, 3 digit, 4 space, 5 line end, 6 beyond ASCII, 7 comma and stop, 8 ! and ?, 9 marks that prose lacks.
 KINDS = 10
@@ -160,7 +160,7 @@ def pseudo_counts(pool: DataFrame, history: list[list[np.ndarray]], certain: flo
             columns = [*zip(*seen)]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in columns), pa.array(seen.values(), pa.int64())], ["view", "cell", "label", "n"])
 
-    rows = pool.mapInArrow(run, "view int, cell int, label int, n long").groupBy("view", "cell", "label").agg(F.sum("n").alias("n"))
+    rows = map_arrow(pool, run, "view int, cell int, label int, n long").groupBy("view", "cell", "label").agg(F.sum("n").alias("n"))
     return rows.toPandas().sort_values(["view", "cell", "label"], kind="stable")
 
 
@@ -184,7 +184,7 @@ def newton_sums(pool: DataFrame, history: list[list[np.ndarray]], certain: float
         if isinstance(total, np.ndarray):
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
-    parts = pool.mapInArrow(run, "sums binary").repartition(SUMS).mapInArrow(add, "sums binary").collect()
+    parts = map_arrow(map_arrow(pool, run, "sums binary").repartition(SUMS), add, "sums binary").collect()
     total = sum((np.frombuffer(r.sums) for r in parts), np.zeros((size + 1) * size)).reshape(size + 1, size)
     return total[0], total[1:]
 
@@ -231,7 +231,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, id_col:
     """Fit the model; None if the labelled sample lacks a kind of label.
 
     Labelled rows without a document, an id or a label are left out; documents that repeat
-    an id count each. All documents that no label names are the pool, with those without an id.
+    an id count each, ``max_labelled`` of all at most. All documents that no label names are the pool, with those without an id.
     """
     key = F.md5(F.col("_id").cast("string"))
     wanted = labels.select(F.col("doc_id").alias("_id"), F.col(label_col).cast("double").alias("_y")).where("_id is not null and _y is not null").orderBy(key, "_y").limit(max_labelled)
@@ -254,7 +254,9 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, id_col:
                 x = pa.ListArray.from_arrays(pa.array(np.arange(len(xt) + 1, dtype=np.int32) * TEXT_DIMS), flat)
                 yield pa.RecordBatch.from_arrays([part.column("_id").cast(pa.int64()), x, pa.array(cells_of(xm))], ["_id", "x", "cell"])
 
-    found: pd.DataFrame = rows.mapInArrow(run, "i long, y double, held boolean, x array<float>").toPandas().sort_values("i", kind="stable")
+    measured = map_arrow(rows, run, "i long, y double, held boolean, x array<float>")
+    measured = measured.orderBy(F.md5(F.col("i").cast("string")), "y", "x").limit(max_labelled)  # documents can repeat an id
+    found: pd.DataFrame = measured.toPandas().sort_values("i", kind="stable")
     if not len(found):
         return None
     x = np.array(found["x"].tolist(), np.float64)
@@ -262,7 +264,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8000, id_col:
     parts = [(y > 0.5)[held == h] for h in (False, True)]
     if any(len(p) == 0 or p.all() or not p.any() for p in parts):
         return None
-    pool = cut(texts.mapInArrow(measure, "_id long, x array<float>, cell int").join(known, "_id", "left_anti").select("x", "cell"))
+    pool = cut(map_arrow(texts, measure, "_id long, x array<float>, cell int").join(known, "_id", "left_anti").select("x", "cell"))
     return co_train([x[:, :TEXT_DIMS], x[:, TEXT_DIMS:]], (y > 0.5).astype(float), held, pool)
 
 
@@ -286,4 +288,4 @@ def score(docs: DataFrame, model: Model | None, text_col: str = "text", meta: tu
             for part in _small(batch, text_col):
                 yield pa.RecordBatch.from_arrays([*part.columns, *map(pa.array, model.scores(*_features(part, text_col, meta)))], [*part.schema.names, *(s for s, _ in SCORES)])
 
-    return rows.mapInArrow(run, schema).withColumn("kept", F.col("score") >= threshold)
+    return map_arrow(rows, run, schema).withColumn("kept", F.col("score") >= threshold)
