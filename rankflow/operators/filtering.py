@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankflow.plans.policy import PAR, Policy
+from rankflow.plans.positions import sums_before
 from rankflow.seq import Seq
 
 
@@ -19,21 +20,16 @@ def partition_point(seq: Seq, pred: Callable[..., Column]) -> DataFrame:
 def stable_partition(seq: Seq, pred: Callable[..., Column], policy: Policy = PAR) -> Seq:
     """Elements that meet the predicate first, both groups in their old order.
 
-    Two levels: blocks of positions are counted, and an element goes to the count of its group
+    Blocks of positions are counted, and an element goes to the count of its group
     in earlier blocks (after all hits, for the others) plus its number in its own block.
     """
     met = F.coalesce(pred(*[F.col(c) for c in seq.columns]), F.lit(False))
     rows = seq.df.withColumn("_met", met).withColumn("_block", F.floor(F.col("pos") / policy.cutoff))
-    blocks = rows.groupBy("_block").agg(F.count_if("_met").alias("_hits"), F.count("*").alias("_rows"))
-    order = Window.orderBy("_block")  # a row for each block
-    blocks = blocks.select(
-        "_block",
-        (F.sum("_hits").over(order) - F.col("_hits")).alias("_hits_before"),
-        (F.sum("_rows").over(order) - F.col("_rows") - F.sum("_hits").over(order) + F.col("_hits")).alias("_others_before"),
-        F.sum("_hits").over(Window.partitionBy(F.lit(1))).alias("_all_hits"),
-    )
+    blocks = rows.groupBy("_block").agg(F.count_if("_met").alias("_hits"), F.count_if(~F.col("_met")).alias("_others"))
+    blocks = sums_before(blocks, "_block", ["_hits", "_others"]).select("_block", "_hits_before", "_others_before")
+    point = rows.agg(F.count_if("_met").alias("_all_hits"))  # one row
     number = F.row_number().over(Window.partitionBy("_block", "_met").orderBy("pos")) - 1
-    placed = rows.withColumn("_number", number).join(blocks, "_block")
+    placed = rows.withColumn("_number", number).join(blocks, "_block").crossJoin(F.broadcast(point))
     pos = F.col("_number") + F.when(F.col("_met"), F.col("_hits_before")).otherwise(F.col("_all_hits") + F.col("_others_before"))
     return Seq(placed.withColumn("pos", pos.cast("long")).select("pos", *seq.columns), length=seq._length)
 

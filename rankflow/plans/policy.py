@@ -7,10 +7,14 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Policy:
-    """``cutoff`` elements make a block of a two-level plan; ``checkout`` elements an Arrow batch."""
+    """``cutoff`` elements make a block of a plan in levels; ``checkout`` elements an Arrow batch; an order is made in ``ranges``.
+
+    ``ranges`` are the session's shuffle partitions by default.
+    """
 
     cutoff: int = 65_536
     checkout: int | None = None
+    ranges: int | None = None
 
     def __post_init__(self) -> None:
         if not 0 < self.batch <= self.cutoff:
@@ -21,5 +25,5 @@ class Policy:
         return self.cutoff if self.checkout is None else self.checkout
 
 
-SEQ = Policy(cutoff=1 << 20)
+SEQ = Policy(cutoff=1 << 20, ranges=1)
 PAR = Policy()

@@ -1,37 +1,31 @@
-"""Dense positions without a global window.
+"""Dense positions and running sums without a global window.
 
-Rows are cut into ranges of their order, at bounds taken from a sample; the rows of each range are
-counted, and a position is the number of rows in earlier ranges plus the row number within
-the range. The only global step runs over one row for each range.
+Rows are dealt by ranges of their order in one exchange. Its partitions are counted as they lie, and a position is
+the number of rows in earlier partitions plus the row's number in its own, sorted one. The only global step runs over one
+row for each partition.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of the sample that reach the driver at most.
-SAMPLE = 8192
+#: Rows that one window sums up at most, for each level of running sums.
+SPAN = 1 << 16
+#: Bits of a row's number in ``monotonically_increasing_id``; the partition's number is above them.
+ROW_BITS = 33
 
 
-def _before(keys: Sequence[str], descending: Sequence[bool], bound: Sequence[Any]) -> Column:
-    """Whether a row comes before the bound in the lexicographic order."""
-    out = F.lit(False)
-    for key, desc, value in reversed(list(zip(keys, descending, bound))):
-        less = (F.col(key) > F.lit(value)) if desc else (F.col(key) < F.lit(value))
-        out = less | ((F.col(key) == F.lit(value)) & out)
-    return out
+def exchanged(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` in its partitions, read from the exchange at its end by every plan that uses the result.
 
-
-def _range_of(keys: Sequence[str], descending: Sequence[bool], bounds: list, first: int = 0) -> Column:
-    """The number of bounds at or before a row, by a balanced tree of comparisons."""
-    if not bounds:
-        return F.lit(first)
-    mid = len(bounds) // 2
-    return F.when(_before(keys, descending, bounds[mid]), _range_of(keys, descending, bounds[:mid], first)).otherwise(_range_of(keys, descending, bounds[mid + 1 :], first + mid + 1))
+    Nothing is kept but the exchange's own files, which Spark makes again from the lineage if an executor is lost.
+    """
+    spark = df.sparkSession
+    jdf = df._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(jdf.queryExecution().toRdd(), jdf.schema(), False), spark)
 
 
 def dense_positions(df: DataFrame, keys: Sequence[str], out: str = "pos", descending: Sequence[bool] | None = None, ranges: int | None = None) -> DataFrame:
@@ -39,17 +33,26 @@ def dense_positions(df: DataFrame, keys: Sequence[str], out: str = "pos", descen
 
     The keys together must be unique for the result to be determined; they must not be null.
     """
-    descending = list(descending or [False] * len(keys))
+    order = [F.desc(k) if d else F.asc(k) for k, d in zip(keys, descending or [False] * len(keys))]
     ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    names = [f"_key{i}" for i in range(len(keys))]
-    keyed = df.select("*", *[F.col(k).alias(n) for k, n in zip(keys, names)])
-    sample = keyed.select(*names).orderBy(F.xxhash64(*[F.col(n).cast("string") for n in names])).limit(SAMPLE)
-    sample = [tuple(r) for r in sample.orderBy(*[F.desc(n) if d else F.asc(n) for n, d in zip(names, descending)]).collect()]
-    bounds = sorted({len(sample) * i // ranges for i in range(1, ranges)} - {0})
-    keyed = keyed.withColumn("_range", _range_of(names, descending, [sample[i] for i in bounds]))
-    counts = keyed.groupBy("_range").count()
-    offsets = counts.select("_range", (F.sum("count").over(Window.orderBy("_range")) - F.col("count")).alias("_offset"))  # a row for each range
-    order = [F.desc(n) if d else F.asc(n) for n, d in zip(names, descending)]
-    numbered = keyed.withColumn("_number", F.row_number().over(Window.partitionBy("_range").orderBy(*order)))
-    placed = numbered.join(F.broadcast(offsets), "_range")
-    return placed.withColumn(out, (F.col("_offset") + F.col("_number") - 1).cast("long")).drop("_range", "_offset", "_number", *names)
+    dealt = exchanged(df.repartitionByRange(ranges, *order))
+    counts = dealt.select(F.spark_partition_id().alias("_part")).groupBy("_part").agg(F.count("*").alias("_n"))
+    offsets = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_offset"))  # a row for each range
+    numbered = dealt.sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_id", ROW_BITS).cast("int"))
+    placed = numbered.join(F.broadcast(offsets), "_part")
+    return placed.withColumn(out, F.col("_offset") + F.col("_id").bitwiseAND((1 << ROW_BITS) - 1)).drop("_part", "_offset", "_id")
+
+
+def sums_before(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
+    """``df`` with ``<column>_before``: the sum of the column over all rows of smaller ``by``, which is a unique whole number.
+
+    Runs of SPAN numbers are summed on their own, and the runs' totals in one window: a row for each SPAN rows of ``df``.
+    """
+    runs = df.withColumn("_run", F.floor(F.col(by) / SPAN))
+    own = Window.partitionBy("_run").orderBy(by)
+    runs = runs.select("*", *[(F.sum(c).over(own) - F.col(c)).alias(f"_{c}_own") for c in columns])
+    order = Window.orderBy("_run")
+    totals = df.groupBy(F.floor(F.col(by) / SPAN).alias("_run")).agg(*[F.sum(c).alias(f"_{c}_all") for c in columns])
+    totals = totals.select("_run", *[(F.sum(f"_{c}_all").over(order) - F.col(f"_{c}_all")).alias(f"_{c}_runs") for c in columns])
+    joined = runs.join(totals, "_run")
+    return joined.select(*df.columns, *[(F.col(f"_{c}_own") + F.col(f"_{c}_runs")).alias(f"{c}_before") for c in columns])
