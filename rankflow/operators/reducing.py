@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankflow.functions.reducers import Reducer, histogram_bin, plus
+from rankflow.functions.reducers import Reducer, histogram_bin, plus, slots_of
+from rankflow.plans.policy import Policy
 from rankflow.seq import Seq
 
 #: Elements that one task folds in order at a time.
@@ -18,23 +19,27 @@ def _mapped(seq: Seq, f: Callable[..., Column] | None) -> DataFrame:
     return seq.df.select("pos", (f(*[F.col(c) for c in seq.columns]) if f else F.col(seq.columns[0])).alias("_x"))
 
 
-def reduce(seq: Seq, reducer: Reducer = plus, f: Callable[..., Column] | None = None, out: str = "result", block: int = FOLD_BLOCK) -> DataFrame:
+def reduce(seq: Seq, reducer: Reducer = plus, f: Callable[..., Column] | None = None, out: str = "result", policy: Policy | None = None) -> DataFrame:
     """One row: the reduction of f of all elements (of the first column by default); the identity for none.
 
     Commutative reducers are one aggregate with partial results. Others are folded in order:
-    blocks of positions first, then blocks of their results, until one is left, so that
+    blocks of positions first (the policy's cutoff, FOLD_BLOCK at most), then blocks of their results, until one is left, so that
     no task ever holds more than a block.
     """
     rows = _mapped(seq, f)
     kind = dict(rows.dtypes)["_x"]
-    zero = reducer.zero(kind)
+    zero, result = reducer.zero(kind), reducer.result(kind)
+    if reducer.plan is not None:
+        return reducer.plan(rows, "_x").select(reducer.finish(F.col("_x").cast(result)).alias(out))
+    rows = rows.withColumn("_x", reducer.lifted(kind, F.col("_x")))
     if reducer.aggregate is not None:
-        return rows.agg(F.coalesce(reducer.aggregate(F.col("_x")), zero).cast(reducer.result(kind)).alias(out))
-    rows = rows.withColumn("_x", F.col("_x").cast(reducer.result(kind)))
-    for _ in range(_levels(seq, block)):
-        folded = F.aggregate(F.array_sort(F.collect_list(F.struct("pos", "_x"))), zero, lambda a, e: reducer.combine(a, e["_x"]))
-        rows = rows.groupBy(F.floor(F.col("pos") / block).alias("pos")).agg(folded.alias("_x"))
-    return rows.agg(F.coalesce(F.first("_x"), zero).alias(out))
+        total = rows.agg(reducer.aggregate(F.col("_x"), lambda c: c).alias("_x"))
+        return total.select(reducer.finish(reducer.combine(zero, F.coalesce("_x", zero)).cast(result)).alias(out))
+    block = min(FOLD_BLOCK, policy.cutoff if policy else FOLD_BLOCK)
+    for _ in range(_levels(seq, max(2, block))):
+        folded = F.aggregate(F.array_sort(F.collect_list(F.struct("pos", "_x"))), zero, lambda a, e: reducer.combine(a, e["_x"]).cast(result))
+        rows = rows.groupBy(F.floor(F.col("pos") / max(2, block)).alias("pos")).agg(folded.alias("_x"))
+    return rows.agg(F.coalesce(F.first("_x"), zero).alias("_x")).select(reducer.finish(F.col("_x")).alias(out))
 
 
 def _levels(seq: Seq, block: int) -> int:
@@ -71,10 +76,10 @@ def histogram(seq: Seq, column: str, bins: int, low: float, high: float) -> Data
 def vec_element_wise(seq: Seq, array: str, aggregate: Callable[[Column], Column] = F.sum) -> DataFrame:
     """``slot, value``: an aggregate of each slot of an array column over all rows.
 
-    Stays distributed by slot; ``vec_as_array`` makes it one array. Empty arrays count as the identity.
+    Stays distributed by slot; ``vec_as_array`` makes it one array. Empty arrays count as the identity; other arrays
+    must be of one size, or running the plan raises.
     """
-    slots = seq.df.select(F.posexplode(array).alias("slot", "_x"))
-    return slots.groupBy("slot").agg(aggregate(F.col("_x")).alias("value"))
+    return slots_of(seq.df.select(F.col(array).alias("_x")), aggregate)
 
 
 def vec_as_array(slots: DataFrame, out: str = "result") -> DataFrame:
