@@ -2,58 +2,87 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rankflow.plans.positions import dense_positions
+from rankflow.plans.policy import PAR, Policy
+from rankflow.plans.positions import dense_positions, sums_before
 from rankflow.seq import Seq
 
+#: Elements that a comparator sorts as one array, and sampled elements for each such range.
+RANGE, OVERSAMPLE = 8192, 16
 
-def stable_sort(seq: Seq, key: Callable[..., Column] | None = None, descending: bool = False) -> Seq:
+
+def stable_sort(seq: Seq, key: Callable[..., Column] | None = None, descending: bool = False, policy: Policy = PAR) -> Seq:
     """Elements by key (the first column by default); equal ones in their old order."""
     k = key(*[F.col(c) for c in seq.columns]) if key else F.col(seq.columns[0])
     rows = seq.df.withColumnRenamed("pos", "_old").withColumn("_k", k)
-    placed = dense_positions(rows, ["_k", "_old"], descending=[descending, False])
+    placed = dense_positions(rows, ["_k", "_old"], descending=[descending, False], ranges=policy.ranges)
     return Seq(placed.select("pos", *seq.columns), length=seq._length)
 
 
 sort = stable_sort
 
 
-def sort_by_comparator(seq: Seq, comparator: Callable[[Column, Column], Column], rounds: Callable[[Column], Column]) -> Seq:
-    """Elements by a comparator (negative, zero or positive) that no key expresses.
+def sort_by_comparator(seq: Seq, comparator: Callable[[Column, Column], Column]) -> Seq:
+    """Elements by a comparator (negative, zero or positive) of their first column; equal ones in their old order.
 
-    ``rounds`` is a coarse key that the comparator respects: elements of one value are ordered by
-    the comparator within an array, values among each other by their order. Positions break ties.
+    Splitters are taken from a sample that the comparator sorts. An element finds its range among them in two steps (which
+    run of splitters, which one of the run), ranges of about RANGE elements are sorted as arrays, and
+    ranges are numbered by their sizes. Positions break ties, so many equal elements fall into many ranges.
     """
-    rows = seq.df.withColumn("_g", rounds(F.col(seq.columns[0])))
+    first, n = seq.columns[0], seq.length()
+    ranges = max(1, -(-n // RANGE))
+    step = max(1, math.isqrt(ranges))
 
     def compare(a: Column, b: Column) -> Column:
-        c = comparator(a[seq.columns[0]], b[seq.columns[0]])
+        c = comparator(a[first], b[first])
         return F.when(c != 0, c).when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0)
 
-    groups = rows.groupBy("_g").agg(F.array_sort(F.collect_list(F.struct("pos", *seq.columns)), compare).alias("_all"))
-    inner = groups.select("_g", F.posexplode("_all").alias("_i", "_e")).select("_g", "_i", *[F.col(f"_e.{c}").alias(c) for c in seq.columns])
-    return Seq(dense_positions(inner, ["_g", "_i"]).select("pos", *seq.columns), length=seq._length)
-
-
-def merge(a: Seq, b: Seq, key: Callable[..., Column] | None = None) -> Seq:
-    """Two sorted sequences as one; of equal elements those of a come first."""
+    rows = seq.df.select("pos", *seq.columns)
+    if ranges > 1:
+        sample = rows.select("pos", first).orderBy(F.xxhash64("pos")).limit(min(n, OVERSAMPLE * ranges))
+        ordered = sample.agg(F.array_sort(F.collect_list(F.struct("pos", first)), compare).alias("_s"))  # OVERSAMPLE for each range
+        places = F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.get("_s", (i * F.size("_s") / F.lit(ranges)).cast("int")))
+        runs = ordered.select(places.alias("_s")).select(F.expr(f"transform(sequence(0, size(_s) - 1, {step}), i -> slice(_s, i + 1, {step}))").alias("_runs"))
+        here = F.struct("pos", first)
+
+        def not_after(s: Column) -> Column:
+            return compare(s, here) <= 0
+
+        rows = rows.crossJoin(F.broadcast(runs))  # one row
+        rows = rows.withColumn("_run", F.size(F.filter("_runs", lambda r: not_after(r[0]))))
+        rows = rows.withColumn("_range", F.when(F.col("_run") == 0, F.lit(0)).otherwise((F.col("_run") - 1) * step + F.size(F.filter(F.get("_runs", F.col("_run") - 1), not_after))))
+        rows = rows.drop("_runs", "_run")
+    else:
+        rows = rows.withColumn("_range", F.lit(0))
+    groups = rows.groupBy("_range").agg(F.array_sort(F.collect_list(F.struct("pos", *seq.columns)), compare).alias("_all"), F.count("*").alias("_n"))
+    before = sums_before(rows.groupBy("_range").agg(F.count("*").alias("_n")), "_range", ["_n"]).select("_range", "_n_before")
+    inner = groups.join(before, "_range").select("_n_before", F.posexplode("_all").alias("_i", "_e"))
+    return Seq(inner.select((F.col("_n_before") + F.col("_i")).cast("long").alias("pos"), *[F.col(f"_e.{c}").alias(c) for c in seq.columns]), length=n)
+
+
+def merge(a: Seq, b: Seq, key: Callable[..., Column] | None = None, comparator: Callable[[Column, Column], Column] | None = None, policy: Policy = PAR) -> Seq:
+    """Two sorted sequences as one, by key or comparator; of equal elements those of a come first."""
+    if comparator is not None:
+        return sort_by_comparator(a.concat(b.select(*a.columns)), comparator)
     sides = [s.df.select(F.lit(i).alias("_side"), F.col("pos").alias("_old"), *a.columns) for i, s in enumerate((a, b))]
     rows = sides[0].unionByName(sides[1])
     rows = rows.withColumn("_k", key(*[F.col(c) for c in a.columns]) if key else F.col(a.columns[0]))
-    return Seq(dense_positions(rows, ["_k", "_side", "_old"]).select("pos", *a.columns))
+    return Seq(dense_positions(rows, ["_k", "_side", "_old"], ranges=policy.ranges).select("pos", *a.columns))
 
 
-def inplace_merge(seq: Seq, middle: int, key: Callable[..., Column] | None = None) -> Seq:
-    """The two sorted runs before and from ``middle`` on, merged."""
-    left, right = Seq(seq.df.where(F.col("pos") < middle)), Seq(seq.df.where(F.col("pos") >= middle))
-    return Seq(merge(left, right, key).df, length=seq._length)
+def inplace_merge(seq: Seq, middle: int, key: Callable[..., Column] | None = None, comparator: Callable[[Column, Column], Column] | None = None, policy: Policy = PAR) -> Seq:
+    """The two sorted runs before and from ``middle`` on, merged: a stable sort, as their elements are in that order."""
+    if not 0 <= middle <= seq.length():
+        raise ValueError(f"{middle} is no place in {seq.length()} elements")
+    return sort_by_comparator(seq, comparator) if comparator is not None else stable_sort(seq, key, policy=policy)
 
 
-def shuffle(seq: Seq, seed: int) -> Seq:
+def shuffle(seq: Seq, seed: int, policy: Policy = PAR) -> Seq:
     """A random permutation that depends on the seed and the positions only."""
     rows = seq.df.withColumnRenamed("pos", "_old").withColumn("_k", F.md5(F.concat(F.lit(f"{seed}-"), F.col("_old").cast("string"))))
-    return Seq(dense_positions(rows, ["_k", "_old"]).select("pos", *seq.columns), length=seq._length)
+    return Seq(dense_positions(rows, ["_k", "_old"], ranges=policy.ranges).select("pos", *seq.columns), length=seq._length)
