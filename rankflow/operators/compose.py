@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import pickle
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from typing import Any
 
+import pyarrow as pa
+from pyspark import BarrierTaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,13 +17,47 @@ from rankflow.seq import Seq
 
 
 def one_row(*results: DataFrame) -> DataFrame:
-    """Independent one-row results side by side, in one plan that Spark runs concurrently."""
-    out = results[0]
-    for r in results[1:]:
-        out = out.crossJoin(r)  # one row each
+    """Independent one-row results side by side, in one plan that Spark runs concurrently.
+
+    A result of more than one row is an error of the plan; one without rows leaves none.
+    """
+    out = None
+    for r in results:
+        held = F.when(F.count("*") > 1, F.raise_error(F.lit("a result has more than one row"))).otherwise(F.first(F.struct("*")))
+        r = r.agg(F.count("*").alias("_n"), held.alias("_r")).where("_n = 1").select("_r.*")
+        out = r if out is None else out.crossJoin(r)  # one row each
     return out
 
 
+def coll_exec(spark: SparkSession, f: Callable[..., Any], size: int, *arguments: Any) -> list:
+    """f(rank, size, barrier, arguments) once on each of ``size`` tasks that run at the same time; results in order of rank.
+
+    ``barrier()`` waits for all tasks. The cluster must have so many free cores. Results are pickled, one for each rank.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _ in batches:
+            pass
+        task = BarrierTaskContext.get()
+        rank = task.partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array([rank], pa.int32()), pa.array([pickle.dumps(f(rank, size, task.barrier, *arguments))], pa.binary())], ["rank", "result"])
+
+    ranks = spark.range(size).repartitionById(size, F.col("id").cast("int"))
+    return [pickle.loads(r.result) for r in ranks.mapInArrow(run, "rank int, result binary", barrier=True).orderBy("rank").collect()]
+
+
+@contextmanager
+def task_group(spark: SparkSession, name: str) -> Iterator[Callable[[], None]]:
+    """All jobs that this thread starts in the block are one group; the value cancels it."""
+    context = spark.sparkContext
+    before = context.getLocalProperty("spark.jobGroup.id")
+    context.setJobGroup(name, name)
+    try:
+        yield lambda: context.cancelJobGroup(name)
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", before)
+
+
 def parallel_invoke(*calls: Callable[[], Any] | tuple, threads: int = 8) -> tuple:
     """Run independent calls, (function, arguments) or functions, at once; their results in order.
 
@@ -64,18 +102,16 @@ def weight_tree(seq: Seq, weight: Callable[..., Column], leaves: int | None = No
     if leaves & (leaves - 1) or leaves < 1:
         raise ValueError("leaves must be a power of two")
     depth = leaves.bit_length() - 1
+    # the leaf of a position is found by halving; leaves are summed first, and only their sums go up the tree
     rows = seq.df.select("pos", weight(*[F.col(c) for c in seq.columns]).alias("_w"), F.lit(1).cast("long").alias("_node"), F.lit(0).cast("long").alias("_a"), F.lit(n).cast("long").alias("_b"))
-    levels = []
     for _ in range(depth):
         mid = F.expr("_a + (_b - _a) div 2")
-        rows = rows.withColumn("_mid", mid).withColumn("_right", F.col("pos") >= F.col("_mid"))
-        levels.append(F.struct(F.col("_node").alias("node"), F.col("_right").alias("right")))
-        rows = rows.withColumn(f"_l{len(levels)}", levels[-1]).select("pos", "_w", *[f"_l{i + 1}" for i in range(len(levels))], (F.col("_node") * 2 + F.col("_right").cast("long")).alias("_node"), F.when(F.col("_right"), F.col("_mid")).otherwise(F.col("_a")).alias("_a"), F.when(F.col("_right"), F.col("_b")).otherwise(F.col("_mid")).alias("_b"))
-    if not depth:
-        return rows.select(F.lit(1).cast("long").alias("node"), F.col("_w").alias("left_work"), F.col("_w").alias("right_work")).where(F.lit(False))
-    flat = rows.select("_w", F.explode(F.array(*[f"_l{i + 1}" for i in range(depth)])).alias("_e"))
-    return flat.groupBy(F.col("_e.node").alias("node")).agg(
-        F.coalesce(F.sum(F.when(~F.col("_e.right"), F.col("_w"))), F.lit(0)).alias("left_work"), F.coalesce(F.sum(F.when(F.col("_e.right"), F.col("_w"))), F.lit(0)).alias("right_work"))
+        right = F.col("pos") >= F.col("_mid")
+        rows = rows.withColumn("_mid", mid).select("pos", "_w", (F.col("_node") * 2 + right.cast("long")).alias("_node"), F.when(right, F.col("_mid")).otherwise(F.col("_a")).alias("_a"), F.when(right, F.col("_b")).otherwise(F.col("_mid")).alias("_b"))
+    sums = rows.groupBy("_node").agg(F.sum("_w").alias("_w"))
+    sums = sums.select("_w", F.explode(F.transform(F.sequence(F.lit(1), F.lit(depth)), lambda i: F.struct(F.call_function("shiftright", F.col("_node"), i).alias("node"), (F.call_function("shiftright", F.col("_node"), i - 1) % 2).alias("right")))).alias("_e")) if depth else sums.where(F.lit(False)).select("_w", F.struct(F.col("_node").alias("node"), F.lit(0).cast("long").alias("right")).alias("_e"))
+    return sums.groupBy(F.col("_e.node").alias("node")).agg(
+        F.coalesce(F.sum(F.when(F.col("_e.right") == 0, F.col("_w"))), F.lit(0)).alias("left_work"), F.coalesce(F.sum(F.when(F.col("_e.right") == 1, F.col("_w"))), F.lit(0)).alias("right_work"))
 
 
 def split_by_weight(seq: Seq, weight: Callable[..., Column], parts: int) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rankflow.plans.policy import PAR, Policy
 from rankflow.seq import Seq
 
 
@@ -25,6 +27,52 @@ def for_each(f: Callable[..., Column], *seqs: Seq, out: str = "value", check: bo
     return transform(zipped, f, out, [f"_{i}" for i in range(len(seqs))])
 
 
+Batches = Iterator[pa.RecordBatch]
+
+
+def _slices(batches: Batches, rows: int) -> Batches:
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
+def transform_batches(seq: Seq, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, policy: Policy = PAR) -> Seq:
+    """An opaque Python function over Arrow batches of the elements, for what built-in functions cannot express.
+
+    f gets ``pos`` and all columns of the policy's ``checkout`` elements at most and returns as many rows in the same order,
+    without ``pos``; ``schema`` has their columns.
+    """
+    size = policy.batch
+
+    def run(batches: Batches) -> Batches:
+        for part in _slices(batches, size):
+            out = f(part)
+            if len(out) != len(part):
+                raise ValueError(f"the function returned {len(out)} rows for {len(part)}")
+            yield pa.RecordBatch.from_arrays([part.column("pos"), *out.columns], ["pos", *out.schema.names])
+
+    rows = seq.df.select(F.col("pos").cast("long").alias("pos"), *seq.columns)
+    return Seq(rows.mapInArrow(run, f"pos long, {schema}"), length=seq._length)
+
+
+def for_each_effect(seq: Seq, f: Callable[[pa.RecordBatch], None], policy: Policy = PAR) -> int:
+    """Call f for its effects on Arrow batches of all elements, on the executors; returns how many there were.
+
+    A task that is repeated calls f again for its elements, so effects should be the same when repeated.
+    """
+    size = policy.batch
+
+    def run(batches: Batches) -> Batches:
+        n = 0
+        for part in _slices(batches, size):
+            f(part)
+            n += len(part)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    rows = seq.df.select(F.col("pos").cast("long").alias("pos"), *seq.columns)
+    return rows.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def fill(seq: Seq, column: str, value: Any, first: int = 0, last: int | None = None) -> Seq:
     """The column set to a value at positions first ... last - 1."""
     inside = F.col("pos") >= first

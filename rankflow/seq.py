@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,6 +77,21 @@ class Seq:
     def select(self, *columns: str | Column) -> Seq:
         return Seq(self.df.select("pos", *columns), length=self._length)
 
+    @contextmanager
+    def kept(self, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Iterator[Seq]:
+        """The sequence, kept on the executors while the block runs: for data that several reads share."""
+        self.df.persist(level)
+        try:
+            yield self
+        finally:
+            self.df.unpersist()
+
+    def small(self, most: int = 1 << 16) -> Seq:
+        """The sequence marked to be sent whole to every task that joins it; ValueError beyond ``most`` elements."""
+        if self.length() > most:
+            raise ValueError(f"{self.length()} elements are too many to send to every task, {most} are allowed")
+        return Seq(F.broadcast(self.df), length=self._length)
+
     # reads and writes --------------------------------------------------------------------
 
     def at(self, i: int) -> tuple:
@@ -91,11 +108,16 @@ class Seq:
         return self.at(self.length() - 1)
 
     def slice(self, offset: int, count: int) -> Seq:
-        """Elements offset, ..., offset + count - 1, from position 0 on."""
+        """Elements offset, ..., offset + count - 1, from position 0 on; IndexError beyond a known length."""
         if offset < 0 or count < 0:
             raise ValueError("offset and count must not be negative")
+        self._reaches(offset + count)
         rows = self.df.where(F.col("pos").between(offset, offset + count - 1))
-        return Seq(rows.withColumn("pos", F.col("pos") - offset))
+        return Seq(rows.withColumn("pos", F.col("pos") - offset), length=count if self._length is not None else None)
+
+    def _reaches(self, end: int) -> None:
+        if self._length is not None and end > self._length:
+            raise IndexError(f"{end} is beyond the {self._length} elements")
 
     def slices(self, spans: list[tuple[int, int]]) -> DataFrame:
         """Rows of several (offset, count) ranges in one scan, with the range's number as ``span``.
@@ -113,11 +135,18 @@ class Seq:
 
     def put(self, i: int, **values: Any) -> Seq:
         """The element at i with some columns replaced; values may be Columns of the old ones."""
+        if i < 0:
+            raise IndexError(i)
+        self._reaches(i + 1)
         new = [F.when(F.col("pos") == i, v if isinstance(v, Column) else F.lit(v)).otherwise(F.col(c)).alias(c) if (v := values.get(c)) is not None else F.col(c) for c in self.columns]
         return Seq(self.df.select("pos", *new), length=self._length)
 
     def overlay(self, offset: int, other: Seq) -> Seq:
-        """Elements from offset on replaced by those of ``other``, as far as both reach."""
+        """Elements from offset on replaced by those of ``other``; IndexError beyond known lengths."""
+        if offset < 0:
+            raise IndexError(offset)
+        if other._length is not None:
+            self._reaches(offset + other._length)
         new = other.df.select((F.col("pos") + offset).alias("pos"), F.struct(*self.columns).alias("_new"))
         rows = self.df.join(new, "pos", "left")
         return Seq(rows.select("pos", *[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) for c in self.columns]), length=self._length)
@@ -143,7 +172,9 @@ class Seq:
         return self.resize(max(0, self.length() - 1))
 
     def insert(self, i: int, other: Seq) -> Seq:
-        """All elements of ``other`` before position i."""
+        """All elements of ``other`` before position i, which may be the end; IndexError beyond."""
+        if not 0 <= i <= self.length():
+            raise IndexError(f"{i} is no place in {self.length()} elements")
         n = other.length()
         moved = self.df.withColumn("pos", F.when(F.col("pos") >= i, F.col("pos") + n).otherwise(F.col("pos")))
         more = other.df.select((F.col("pos") + i).alias("pos"), *self.columns)
@@ -157,15 +188,19 @@ class Seq:
     def zip(self, *others: Seq, check: bool = True) -> Seq:
         """Columns of several sequences side by side, as long as this one.
 
-        Where ``check`` is set, a shorter partner raises ValueError instead of giving nulls. Column
-        names must differ. Sequences over the same DataFrame need no join.
+        Where ``check`` is set, a shorter partner is an error instead of giving nulls: ValueError at once where the
+        lengths are known, else an error of the plan at the first element without a partner. Column
+        names must differ.
         """
-        if check and others:
-            n = self.length()
-            for o in others:
-                if o.length() < n:
-                    raise ValueError(f"a zipped sequence has {o.length()} elements, {n} are needed")
         rows = self.df
-        for o in others:
-            rows = rows.join(o.df, "pos", "left")
+        for i, o in enumerate(others):
+            known = self._length is not None and o._length is not None
+            if check and known and o._length < self._length:
+                raise ValueError(f"a zipped sequence has {o._length} elements, {self._length} are needed")
+            if not check or known:
+                rows = rows.join(o.df, "pos", "left")
+                continue
+            there, first = f"_there{i}", o.columns[0]
+            rows = rows.join(o.df.withColumn(there, F.lit(True)), "pos", "left")
+            rows = rows.withColumn(first, F.when(F.col(there), F.col(first)).otherwise(F.raise_error(F.lit("a zipped sequence has too few elements")))).drop(there)
         return Seq(rows, length=self._length)
