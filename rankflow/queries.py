@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankflow.functions import reducers as R
 from rankflow.operators import compose, filtering, mapping, ordering, reducing, scanning, searching
+from rankflow.plans.policy import SEQ, Policy
 from rankflow.seq import Seq
 from rankflow.sources import binary
 
@@ -60,9 +63,9 @@ def transform_zip(spark, sf_dir):
     return mapping.for_each(lambda a, b: a + b, _events(spark, sf_dir), _seq(spark, sf_dir, "orders", "o_orderkey", "o_totalprice")).df
 
 
-@query("SELECT l_orderkey, l_linenumber, 2.5 * l_quantity + l_tax AS value FROM lineitem")
+@query("SELECT event_id AS pos, 2.5 * value + user_id AS value FROM events")
 def for_each_axpy(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", (F.lit(2.5) * F.col("l_quantity") + F.col("l_tax")).alias("value"))
+    return mapping.for_each(lambda x, y: F.lit(2.5) * x + y, _events(spark, sf_dir), _events(spark, sf_dir, "user_id"), check=False).df
 
 
 @query("SELECT event_id AS pos, value + user_id + event_id AS value FROM events")
@@ -108,9 +111,9 @@ def reverse(spark, sf_dir):
     return mapping.reverse(_events(spark, sf_dir)).df
 
 
-@query("SELECT event_id AS pos, value FROM events")
+@query("WITH n AS (SELECT count(*) AS n FROM events) SELECT event_id - (n - 600) AS pos, value FROM events, n WHERE event_id >= n - 600 AND event_id < n - 100")
 def reverse_copy_twice(spark, sf_dir):
-    return mapping.reverse(mapping.reverse(_events(spark, sf_dir))).df
+    return mapping.reverse(mapping.reverse(_events(spark, sf_dir)).slice(100, 500)).df
 
 
 @query("SELECT CASE WHEN event_id >= 333 THEN event_id - 333 ELSE event_id - 333 + (SELECT count(*) FROM events) END AS pos, value FROM events")
@@ -155,9 +158,9 @@ def reduce_default(spark, sf_dir):
     return reducing.reduce(_events(spark, sf_dir, "user_id"))
 
 
-@query("SELECT CAST(1 << 20 AS BIGINT) AS result")
+@query("SELECT CAST(product(CASE WHEN event_id < 17 THEN user_id % 7 + 1 ELSE 1 END) AS BIGINT) AS result FROM events")
 def reduce_multiplies(spark, sf_dir):
-    return reducing.reduce(_events(spark, sf_dir, "event_id"), R.multiplies, lambda i: F.when(i < 20, F.lit(2)).otherwise(F.lit(1)))
+    return reducing.reduce(_events(spark, sf_dir, "event_id", "user_id"), R.multiplies, lambda i, u: F.when(i < 17, u % 7 + 1).otherwise(F.lit(1)))
 
 
 @query("SELECT round(product(1 + value / 1e9), 6) AS result FROM events")
@@ -177,8 +180,26 @@ def reduce_max(spark, sf_dir):
 
 @query("SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders")
 def reduce_minmax(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").agg(R.minmax(F.col("o_totalprice"), "double").alias("m"))
-    return rows.select(F.col("m.min").alias("lo"), F.col("m.max").alias("hi"))
+    rows = reducing.reduce(_seq(spark, sf_dir, "orders", "o_orderkey", "o_totalprice"), R.minmax)
+    return rows.select(F.col("result.min").alias("lo"), F.col("result.max").alias("hi"))
+
+
+@query(f"SELECT round(CAST(sum({CENTS}) AS DOUBLE) / count(*), 6) AS result FROM events")
+def reduce_custom_mean(spark, sf_dir):
+    """A reducer whose accumulator is not of the elements' type."""
+    mean = R.make_reducer(
+        F.struct(F.lit(0).alias("total"), F.lit(0).alias("n")), lambda a, b: F.struct((a["total"] + b["total"]).alias("total"), (a["n"] + b["n"]).alias("n")),
+        "mean", "struct<total:bigint,n:bigint>", lambda v: F.struct(v.alias("total"), F.lit(1).alias("n")), lambda a: F.round(a["total"] / a["n"], 6),
+        lambda a, over: F.struct(over(F.sum(a["total"])).alias("total"), over(F.sum(a["n"])).alias("n")),
+    )
+    return reducing.reduce(_cents(spark, sf_dir), mean)
+
+
+@query("SELECT CAST(sum(CASE WHEN event_id % 3 <> 0 THEN user_id END) AS BIGINT) AS a, CAST(sum(CASE WHEN event_id % 3 <> 0 THEN event_id END) AS BIGINT) AS b FROM events")
+def vec_sizes(spark, sf_dir):
+    """Element-wise sums of vectors, a third of which are empty."""
+    pairs = mapping.transform(_events(spark, sf_dir, "event_id", "user_id"), lambda i, u: F.when(i % 3 != 0, F.array(u, i)).otherwise(F.array().cast("array<bigint>")))
+    return reducing.reduce(pairs, R.vec_plus).select(F.col("result")[0].alias("a"), F.col("result")[1].alias("b"))
 
 
 @query("SELECT coalesce(bool_and(value > 0), true) AS result FROM events")
@@ -203,16 +224,14 @@ def reduce_ordered(spark, sf_dir):
     return reducing.reduce(_events(spark, sf_dir, "event_type"), R.concat, lambda t: F.substring(t, 1, 1))
 
 
-@query("SELECT CAST(sum(CAST(l_quantity AS BIGINT) * CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS result FROM lineitem")
+@query(f"SELECT CAST(sum(user_id * {CENTS}) AS BIGINT) AS result FROM events")
 def dot_product(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.lit(0).cast("long").alias("pos"), F.col("l_quantity").cast("long").alias("a"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("b"))
-    return reducing.dot(Seq(rows))  # order does not matter, so no positions are made
+    return reducing.dot(_events(spark, sf_dir, "user_id"), _cents(spark, sf_dir))
 
 
-@query("SELECT CAST(sum(CAST(l_quantity AS BIGINT) * CAST(l_quantity AS BIGINT)) AS BIGINT) AS result FROM lineitem")
+@query("SELECT CAST(sum(user_id * user_id) AS BIGINT) AS result FROM events")
 def transform_reduce_sq(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.lit(0).cast("long").alias("pos"), F.col("l_quantity").cast("long").alias("q"))
-    return reducing.reduce(Seq(rows), R.plus, lambda q: q * q)
+    return reducing.reduce(_events(spark, sf_dir, "user_id"), R.plus, lambda u: u * u)
 
 
 @query(f"SELECT CAST(sum({CENTS} * o_custkey) AS BIGINT) AS result FROM events JOIN orders ON event_id = o_orderkey")
@@ -233,6 +252,12 @@ def histogram(spark, sf_dir):
     return reducing.histogram(_events(spark, sf_dir), "value", 50, 0.0, 500.0)
 
 
+@query("""WITH b AS (SELECT least(CAST(floor((value - 0.0) / ((500.0 - 0.0) / 20.0)) AS INTEGER), 19) AS bin FROM events WHERE value BETWEEN 0 AND 500)
+SELECT CAST(r.range AS INTEGER) AS bin, count(b.bin) AS count FROM range(20) r LEFT JOIN b ON b.bin = r.range GROUP BY r.range""")
+def reduce_histogram(spark, sf_dir):
+    return reducing.reduce(_events(spark, sf_dir), R.histogram(20, 0.0, 500.0)).select(F.posexplode("result").alias("bin", "count"))
+
+
 def _vec(spark, sf_dir, aggregate):
     return reducing.vec_element_wise(_seq(spark, sf_dir, "embeddings", "vec_id", "embedding"), "embedding", aggregate)
 
@@ -261,7 +286,7 @@ def vec_multiplies(spark, sf_dir):
     return _vec(spark, sf_dir, lambda x: F.round(F.product(1 + x.cast("double") / 1000), 6))
 
 
-@query("""WITH p AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS p, string_split(text, ' ') AS w FROM conversations WHERE conv_id < 50),
+@query("""WITH p AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS p, string_split(text, ' ') AS w FROM conversations),
 u AS (SELECT p, unnest(w) AS value, unnest(range(len(w))) AS i FROM p)
 SELECT row_number() OVER (ORDER BY p, i) - 1 AS pos, value FROM u""")
 def vec_concat(spark, sf_dir):
@@ -302,6 +327,17 @@ def scan_all(spark, sf_dir):
     return scanning.scan(_events(spark, sf_dir), R.logical_and, lambda v: v < 400).df
 
 
+@query("SELECT event_id AS pos, min(value) OVER (ORDER BY event_id) AS lo, max(value) OVER (ORDER BY event_id) AS hi FROM events")
+def scan_minmax(spark, sf_dir):
+    return scanning.scan(_events(spark, sf_dir), R.minmax).df.select("pos", F.col("value.min").alias("lo"), F.col("value.max").alias("hi"))
+
+
+@query(f"SELECT event_id AS pos, CAST(sum({CENTS}) OVER (ORDER BY event_id) AS BIGINT) AS value FROM events")
+def scan_policy(spark, sf_dir):
+    """A policy changes blocks, not results."""
+    return scanning.scan(_cents(spark, sf_dir), policy=Policy(cutoff=700, checkout=70)).df
+
+
 @query("SELECT event_id AS pos, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (ORDER BY event_id) AS value FROM (SELECT * FROM events UNION ALL SELECT * REPLACE (-1 AS event_id, 'purchase' AS event_type) FROM events WHERE event_id = 0) QUALIFY event_id >= 0")
 def scan_ordered(spark, sf_dir):
     """The last purchase so far: an operation that keeps its right operand unless it is -1."""
@@ -355,6 +391,24 @@ def is_sorted_descending(spark, sf_dir):
     return searching.is_sorted(mapping.reverse(_events(spark, sf_dir, "event_id")), descending=True)
 
 
+@query("SELECT coalesce(bool_and(NOT coalesce(v < p, false)), true) AS sorted FROM (SELECT v, lag(v) OVER (ORDER BY event_id) AS p FROM (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN NULL ELSE event_id END AS v FROM events))")
+def is_sorted_nan(spark, sf_dir):
+    """NaN is before nothing and nothing is before NaN."""
+    return searching.is_sorted(mapping.transform(_events(spark, sf_dir, "event_id"), lambda i: F.when(i % 10 == 0, F.lit(float("nan"))).otherwise(i.cast("double"))))
+
+
+@query("SELECT coalesce(bool_and(event_type >= p), true) AS sorted FROM (SELECT event_type, lag(event_type) OVER (ORDER BY event_id) AS p FROM events)")
+def is_sorted_comp(spark, sf_dir):
+    return searching.is_sorted(_events(spark, sf_dir, "event_type"), before=lambda a, b: a < b)
+
+
+@query("""WITH k AS (SELECT o_orderkey AS p, o_custkey AS v, o_custkey % 13 AS k FROM orders), lo AS (SELECT * FROM k ORDER BY k DESC, p LIMIT 1), hi AS (SELECT * FROM k ORDER BY k, p LIMIT 1)
+SELECT lo.p AS min_pos, lo.v AS min_value, hi.p AS max_pos, hi.v AS max_value FROM lo, hi""")
+def min_element_comp(spark, sf_dir):
+    """First extremes by a comparator: larger remainders come first."""
+    return searching.minmax_element(_seq(spark, sf_dir, "orders", "o_orderkey", "o_custkey"), before=lambda a, b: a % 13 > b % 13)
+
+
 @query("SELECT o_orderkey AS min_pos, o_totalprice AS min_value FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 1")
 def min_element(spark, sf_dir):
     return searching.min_element(_seq(spark, sf_dir, "orders", "o_orderkey", "o_totalprice"))
@@ -393,13 +447,21 @@ def sort_desc(spark, sf_dir):
 @query("SELECT row_number() OVER (ORDER BY o_custkey % 10, o_custkey DESC, o_orderkey) - 1 AS pos, o_custkey FROM orders")
 def sort_comparator(spark, sf_dir):
     seq = _seq(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
-    return ordering.sort_by_comparator(seq, lambda a, b: F.when(a > b, -1).when(a < b, 1).otherwise(0), lambda c: c % 10).df
+    return ordering.sort_by_comparator(seq, lambda a, b: F.when(a % 10 != b % 10, a % 10 - b % 10).otherwise(b - a).cast("int")).df
 
 
-@query("SELECT row_number() OVER (ORDER BY i, side, i) - 1 AS pos, i AS value FROM (SELECT 0 AS side, range AS i FROM range(3000) UNION ALL SELECT 1, range FROM range(7000))")
+@query("SELECT row_number() OVER (ORDER BY k, event_id) - 1 AS pos, k AS value FROM (SELECT event_id, CAST(CASE WHEN event_id < 300 THEN event_id // 7 ELSE (event_id - 300) // 7 END AS BIGINT) AS k FROM events)")
 def inplace_merge(spark, sf_dir):
-    runs = Seq.range(spark, 0, 3000).concat(Seq.range(spark, 0, 7000))
-    return ordering.inplace_merge(runs, 3000).df
+    runs = mapping.transform(_events(spark, sf_dir, "event_id"), lambda i: F.floor(F.when(i < 300, i).otherwise(i - 300) / 7))
+    return ordering.inplace_merge(runs, 300).df
+
+
+@query("SELECT row_number() OVER (ORDER BY k DESC, side, p) - 1 AS pos, k AS value FROM (SELECT 0 AS side, event_id AS p, CAST((100000 - event_id) // 7 AS BIGINT) AS k FROM events UNION ALL SELECT 1, n_nationkey, CAST((50 - n_nationkey) * 200 AS BIGINT) FROM nation)")
+def merge_comp(spark, sf_dir):
+    """Two descending sequences, merged by a comparator."""
+    a = mapping.transform(_events(spark, sf_dir, "event_id"), lambda i: F.floor((100000 - i) / 7))
+    b = mapping.transform(_seq(spark, sf_dir, "nation", "n_nationkey", "n_nationkey"), lambda i: ((50 - i) * 200).cast("long"))
+    return ordering.merge(a, b, comparator=lambda x, y: F.signum(y - x).cast("int")).df
 
 
 @query("SELECT row_number() OVER (ORDER BY k, side, p) - 1 AS pos, k AS value FROM (SELECT 0 AS side, event_id AS p, CAST(event_id // 7 AS BIGINT) AS k FROM events UNION ALL SELECT 1, o_orderkey, CAST(o_orderkey // 5 AS BIGINT) FROM orders)")
@@ -414,6 +476,12 @@ def shuffle_seeded(spark, sf_dir):
     return ordering.shuffle(_events(spark, sf_dir), 42).df
 
 
+@query("SELECT row_number() OVER (ORDER BY value, event_id) - 1 AS pos, value FROM events")
+def sort_seq(spark, sf_dir):
+    """The sequential policy: one range."""
+    return ordering.stable_sort(_events(spark, sf_dir), policy=SEQ).df
+
+
 # composition -----------------------------------------------------------------------------
 
 
@@ -423,6 +491,57 @@ def fork_join_tuple(spark, sf_dir):
     return compose.one_row(orders.agg(F.count("*").alias("orders")), orders.agg(F.max("o_totalprice").alias("dearest")), reducing.reduce(_cents(spark, sf_dir), out="cents"))
 
 
+@query(f"SELECT (SELECT count(*) FROM orders) AS orders, (SELECT CAST(sum({CENTS}) AS BIGINT) FROM events) AS cents, true AS nothing")
+def parallel_invoke(spark, sf_dir):
+    """Independent jobs at once, one of them without a result."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    with compose.task_group(spark, "parallel_invoke"):
+        n, cents, none = compose.parallel_invoke(orders.count, (lambda seq: reducing.reduce(seq).first()[0], _cents(spark, sf_dir)), lambda: None)
+    return spark.range(1).select(F.lit(n).cast("long").alias("orders"), F.lit(cents).cast("long").alias("cents"), F.lit(none is None).alias("nothing"))
+
+
+@query("SELECT 0 AS rank, 2 AS size, 10 AS result UNION ALL SELECT 1, 2, 11")
+def coll_exec(spark, sf_dir):
+    """The same function on two tasks at once, which wait for each other."""
+
+    def ten_more(rank, size, barrier, first):
+        barrier()
+        return rank, size, first + rank
+
+    return spark.createDataFrame(compose.coll_exec(spark, ten_more, 2, 10), "rank int, size int, result int")
+
+
+@query("WITH w AS (SELECT event_id AS pos, sum(event_id % 5) OVER (ORDER BY event_id) AS e, (SELECT sum(event_id % 5) FROM events) AS t FROM events) SELECT pos, CAST(least(floor((e - 1) * 4 / greatest(t, 1)), 3) AS INTEGER) AS part FROM w")
+def split_by_weight(spark, sf_dir):
+    return compose.split_by_weight(_events(spark, sf_dir, "event_id"), lambda i: i % 5, 4).select("pos", "part")
+
+
+@query("SELECT event_id AS pos, value * 3 + 1 AS value FROM events")
+def transform_batches(spark, sf_dir):
+    """An opaque Python function over Arrow batches of 500 elements."""
+
+    def three_times(batch):
+        return pa.RecordBatch.from_arrays([pc.add(pc.multiply(batch.column("value"), 3.0), 1.0)], ["value"])
+
+    return mapping.transform_batches(_events(spark, sf_dir), three_times, "value double", Policy(checkout=500)).df
+
+
+@query("SELECT count(*) AS visited FROM events")
+def for_each_effect(spark, sf_dir):
+    """Elements visited by a function without a result."""
+    with _events(spark, sf_dir).kept() as seq:
+        n = mapping.for_each_effect(seq, lambda batch: None)
+    return spark.range(1).select(F.lit(n).cast("long").alias("visited"))
+
+
+@query("SELECT event_id AS pos, value, n_name AS name FROM events JOIN nation ON n_nationkey = event_id")
+def zip_small(spark, sf_dir):
+    """A short sequence sent whole to the tasks that read a long one."""
+    names = _seq(spark, sf_dir, "nation", "n_nationkey", "n_name")
+    n = names.length()
+    return Seq(_events(spark, sf_dir).df.where(F.col("pos") < n), length=n).zip(names.select(F.col("n_name").alias("name")).small()).df
+
+
 @query("SELECT 20 AS n, CAST(10946 AS BIGINT) AS fib")
 def fib_recursive(spark, sf_dir):
     return compose.fib(spark, 20)
@@ -461,13 +580,26 @@ def uniform_source(spark, sf_dir):
     return Seq.fill(spark, 500, 3).df
 
 
+def _shared(spark) -> str:
+    """A new folder that driver and executors share; in local mode a temporary one."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
+    return f"{named.rstrip('/')}/rankflow-{uuid.uuid4().hex}"
+
+
 @query("SELECT range AS pos, range * 3 - 100 AS value FROM range(1000)")
 def binary_file_scan(spark, sf_dir):
-    """A file of 64-bit integers, written by the driver where executors can read it."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", "").removeprefix("file://")
-    folder = tempfile.mkdtemp(dir=named if named and os.path.isdir(named) else None)
-    binary.write_fixed([i * 3 - 100 for i in range(1000)], f"{folder}/values.bin")
-    return binary.read_fixed(spark, f"file://{folder}/values.bin").df
+    """A file of 64-bit integers, written by the driver to the folder that executors share."""
+    path = f"{_shared(spark)}/values.bin"
+    binary.write_fixed([i * 3 - 100 for i in range(1000)], path, spark=spark)
+    return binary.read_fixed(spark, path).df
+
+
+@query("SELECT range AS pos, CAST(range % 100 AS TINYINT) AS b, CAST(range AS INTEGER) AS i, CAST(range / 4.0 AS FLOAT) AS f, range / 8.0 AS d FROM range(1000)")
+def binary_records(spark, sf_dir):
+    """Records of mixed types in big-endian order."""
+    path = f"{_shared(spark)}/records.bin"
+    binary.write_fixed([(i % 100, i, i / 4, i / 8) for i in range(1000)], path, ">bifd", spark=spark)
+    return binary.read_fixed(spark, path, ">bifd", ("b", "i", "f", "d")).df
 
 
 @query("SELECT value FROM events WHERE event_id = 77")

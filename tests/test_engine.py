@@ -1,12 +1,16 @@
 """Closed-form cases; results must not depend on partitions or block sizes."""
 
+import os
+
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from rankflow import queries
 from rankflow.functions import reducers as R
 from rankflow.operators import compose, filtering, mapping, ordering, reducing, scanning, searching
-from rankflow.plans.policy import Policy
+from rankflow.plans.policy import SEQ, Policy
 from rankflow.plans.profiling import Profiler, plan_nodes, work_and_span
 from rankflow.seq import Seq
 from rankflow.sources import binary
@@ -45,6 +49,10 @@ def test_maps(spark, parts):
 def test_zip_needs_enough_elements(spark):
     with pytest.raises(ValueError):
         mapping.for_each(lambda a, b: a + b, iota(spark), iota(spark, n=10))
+    unknown = Seq(iota(spark, n=10).df)  # then the plan checks, without a job of its own
+    with pytest.raises(Exception, match="too few elements"):
+        mapping.for_each(lambda a, b: a + b, iota(spark), unknown).df.collect()
+    assert values(mapping.for_each(lambda a, b: a + b, iota(spark, n=10), unknown)) == [2 * i for i in range(10)]
 
 
 @pytest.mark.parametrize("parts", PARTS)
@@ -65,13 +73,14 @@ def test_partition_and_scan(spark, parts, cutoff):
 @pytest.mark.parametrize("block", [3, 64, 4096])
 def test_ordered_folds(spark, block):
     s = mapping.transform(iota(spark), lambda v: F.concat(v.cast("string"), F.lit(",")))
-    assert one(reducing.reduce(s, R.concat, block=block)) == "".join(f"{i}," for i in range(N))
+    block = Policy(block)
+    assert one(reducing.reduce(s, R.concat, policy=block)) == "".join(f"{i}," for i in range(N))
     affine = R.make_reducer(F.struct(F.lit(1).cast("long").alias("a"), F.lit(0).cast("long").alias("b")), lambda l, r: F.struct(((l["a"] * r["a"]) % 1009).alias("a"), ((r["a"] * l["b"] + r["b"]) % 1009).alias("b")))
     t = mapping.transform(iota(spark), lambda v: F.struct((v % 7 + 2).alias("a"), v.alias("b")))
     a, b = 1, 0
     for i in range(N):
         a, b = a * (i % 7 + 2) % 1009, ((i % 7 + 2) * b + i) % 1009
-    assert tuple(one(reducing.reduce(t, affine, block=block))) == (a, b)
+    assert tuple(one(reducing.reduce(t, affine, policy=block))) == (a, b)
 
 
 def test_ordered_scan_of_strings(spark):
@@ -170,19 +179,151 @@ def test_composition(spark):
     assert sorted((r[0], r[1]) for r in parts) == [(i, 25) for i in range(4)]
 
 
+def test_reducers_with_accumulators(spark):
+    s = iota(spark)
+    total = R.make_reducer(F.struct(F.lit(0).alias("s"), F.lit(0).alias("n")), lambda a, b: F.struct((a["s"] + b["s"]).alias("s"), (a["n"] + b["n"]).alias("n")), "mean", "struct<s:bigint,n:bigint>", lambda v: F.struct(v.alias("s"), F.lit(1).alias("n")), lambda a: a["s"] / a["n"])
+    assert one(reducing.reduce(s, total)) == (N - 1) / 2
+    assert values(scanning.scan(s, total, policy=Policy(100)))[:4] == [0.0, 0.5, 1.0, 1.5]
+    assert tuple(one(reducing.reduce(s, R.minmax))) == (0, N - 1)
+    assert tuple(one(reducing.reduce(s.clear(), R.minmax))) == (2**63 - 1, -(2**63))
+    x = Seq.values(spark, [float("nan"), 3.0, float("nan"), 1.0, 5.0], "double")
+    biggest = R.LIMITS["double"][1]
+    assert [tuple(v) for v in values(scanning.scan(x, R.minmax))] == [(biggest, -biggest), (3.0, 3.0), (3.0, 3.0), (1.0, 3.0), (1.0, 5.0)]
+    assert values(scanning.scan(x, R.max_)) == [-biggest, 3.0, 3.0, 3.0, 5.0]
+    assert one(reducing.reduce(x, R.histogram(4, 0.0, 4.0))) == [0, 1, 0, 1]
+    assert values(scanning.scan(x, R.histogram(4, 0.0, 4.0)))[-2:] == [[0, 1, 0, 1]] * 2
+    assert one(reducing.reduce(x.clear(), R.histogram(2, 0.0, 4.0))) == [0, 0]
+
+
+def test_decimals_and_times(spark):
+    prices = mapping.transform(iota(spark, n=100), lambda v: F.lit("9.99").cast("decimal(3,2)"))
+    assert str(one(reducing.reduce(prices))) == "999.00" and str(values(scanning.scan(prices))[-1]) == "999.00"
+    assert str(one(reducing.reduce(prices, R.max_))) == "9.99" and str(one(reducing.reduce(prices.clear(), R.min_))) == "9.99" and str(one(reducing.reduce(prices.clear(), R.max_))) == "-9.99"
+    days = mapping.transform(iota(spark, n=100), lambda v: F.date_add(F.lit("2020-01-01").cast("date"), v.cast("int")).cast("timestamp"))
+    assert str(one(reducing.reduce(days, R.max_)))[:10] == "2020-04-09" and str(values(scanning.scan(days, R.min_))[-1])[:10] == "2020-01-01"
+    with pytest.raises(ValueError):
+        reducing.reduce(mapping.transform(iota(spark), lambda v: F.array(v)), R.min_)
+
+
+def test_vector_sizes(spark):
+    a = mapping.transform(iota(spark, n=9), lambda v: F.when(v % 3 == 0, F.array().cast("array<bigint>")).otherwise(F.array(v, -v)))
+    assert one(reducing.reduce(a, R.vec_plus)) == [27, -27] and one(reducing.reduce(a, R.vec_max)) == [8, -1] and one(reducing.reduce(a, R.vec_min)) == [1, -8]
+    assert values(scanning.scan(a, R.vec_plus))[-1] == [27, -27] and one(reducing.reduce(a.clear(), R.vec_plus)) == []
+    bad = Seq.values(spark, [1, 2], "int")
+    bad = mapping.transform(bad, lambda v: F.sequence(F.lit(0), v))
+    for run in (lambda: reducing.reduce(bad, R.vec_plus), lambda: reducing.vec_element_wise(bad, "value"), lambda: scanning.scan(bad, R.vec_plus).df):
+        with pytest.raises(Exception, match="unequal sizes"):
+            run().collect()
+
+
+@pytest.mark.parametrize("size", [7, 100_000])
+def test_comparators(spark, size, monkeypatch):
+    monkeypatch.setattr(ordering, "RANGE", size)
+    s = iota(spark, n=500)
+    by = lambda a, b: F.when(a % 7 != b % 7, b % 7 - a % 7).otherwise(0).cast("int")
+    want = sorted(range(500), key=lambda v: (-(v % 7), v))
+    assert values(ordering.sort_by_comparator(s, by)) == want
+    assert values(ordering.sort_by_comparator(s, lambda a, b: F.lit(0))) == list(range(500))
+    assert values(ordering.merge(s, iota(spark, n=90), comparator=by)) == sorted([*range(500), *range(90)], key=lambda v: -(v % 7))
+    assert values(ordering.inplace_merge(s, 250, comparator=by)) == want
+    assert ordering.sort_by_comparator(s.clear(), by).df.count() == 0
+    more = lambda a, b: a % 7 > b % 7
+    p = Policy(16)
+    assert tuple(searching.extremes(s, before=more, policy=p).collect()[0]) == (6, 6, 0, 0)
+    assert tuple(searching.extremes(s.clear(), before=more).collect()[0]) == (0, None, 0, None)
+    assert one(searching.is_sorted(ordering.sort_by_comparator(s, by), before=more, policy=p)) is True
+    assert one(searching.is_sorted(s, before=more, policy=p)) is False
+    nan = float("nan")
+    for xs, up, down in (([nan, 1.0], True, True), ([1.0, nan, 0.5], True, True), ([1.0, 0.5, nan], False, True), ([1.0, 2.0, nan], True, False)):
+        seq = Seq.values(spark, xs, "double")
+        assert (one(searching.is_sorted(seq)), one(searching.is_sorted(seq, descending=True))) == (up, down)
+
+
+def test_python_functions_over_batches(spark, tmp_path):
+    s, folder = iota(spark, n=1000), str(tmp_path)
+
+    def square(batch):
+        assert len(batch) <= 64
+        return pa.RecordBatch.from_arrays([pc.power(batch.column("value"), 2)], ["value"])
+
+    assert values(mapping.transform_batches(s, square, "value long", Policy(checkout=64))) == [i * i for i in range(1000)]
+    with pytest.raises(Exception, match="rows for"):
+        mapping.transform_batches(s, lambda b: b.select(["value"]).slice(1), "value long").df.collect()
+
+    def touch(batch):
+        for v in batch.column("value").to_pylist():
+            open(f"{folder}/{v}", "w").close()
+
+    assert mapping.for_each_effect(s, touch, Policy(checkout=100)) == 1000 and len(os.listdir(folder)) == 1000
+    assert mapping.for_each_effect(s.clear(), touch) == 0
+
+
+def test_ranks_groups_and_keeping(spark):
+    def work(rank, size, barrier, plus):
+        barrier()
+        return rank * 10 + plus, size
+
+    assert compose.coll_exec(spark, work, 3, 5) == [(5, 3), (15, 3), (25, 3)]
+    with compose.task_group(spark, "mine") as cancel:
+        assert spark.range(5).count() == 5 and spark.sparkContext.statusTracker().getJobIdsForGroup("mine")
+        cancel()
+    assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") != "mine"
+    with iota(spark).kept() as s:
+        assert s.df.is_cached and one(reducing.reduce(s)) == N * (N - 1) // 2
+    assert not s.df.is_cached
+    assert plan_nodes(iota(spark).zip(Seq.range(spark, 0, N).select(F.col("value").alias("b")).small()).df)["BroadcastHashJoin"] == 1
+    with pytest.raises(ValueError):
+        iota(spark).small(10)
+    with pytest.raises(Exception, match="more than one row"):
+        compose.one_row(spark.range(1), spark.range(2).toDF("b")).collect()
+
+
+def test_bounds(spark):
+    s = iota(spark, n=10)
+    for bad in (lambda: s.insert(11, s), lambda: s.insert(-1, s), lambda: s.put(10, value=1), lambda: s.put(-1, value=1), lambda: s.overlay(5, iota(spark, n=6)), lambda: s.slice(8, 3)):
+        with pytest.raises(IndexError):
+            bad()
+    assert values(s.insert(10, iota(spark, n=2))) == [*range(10), 0, 1] and values(s.slice(8, 2)) == [8, 9]
+    with pytest.raises(ValueError):
+        ordering.inplace_merge(s, 11)
+
+
+def test_policies_do_not_change_orders(spark):
+    s = mapping.transform(iota(spark), lambda v: v % 10)
+    for p in (SEQ, Policy(ranges=3)):
+        assert values(ordering.stable_sort(s, policy=p)) == sorted(i % 10 for i in range(N))
+        assert values(ordering.shuffle(iota(spark), 5, policy=p)) == values(ordering.shuffle(iota(spark), 5))
+
+
 def test_binary_file(spark, tmp_path):
     binary.write_fixed([i - 50 for i in range(1000)], str(tmp_path / "x"))
     assert values(binary.read_fixed(spark, str(tmp_path / "x"))) == [i - 50 for i in range(1000)]
     binary.write_fixed([-2, 70000], str(tmp_path / "y"), ">i")
     assert values(binary.read_fixed(spark, str(tmp_path / "y"), ">i")) == [-2, 70000]
+    rows = [(i % 128, -i, i / 3, i / 7, 3 * i) for i in range(5000)]
+    binary.write_fixed(rows, f"file://{tmp_path}/r", "<bifdq", spark=spark)
+    spark.conf.set("mapreduce.input.fileinputformat.split.maxsize", "10000")
+    got = binary.read_fixed(spark, f"file://{tmp_path}/r", "<bifdq", tuple("abcde")).df.orderBy("pos").collect()
+    assert [(r.a, r.b, r.d, r.e) for r in got] == [(a, b, d, e) for a, b, _, d, e in rows] and got[9].c == pytest.approx(3.0) and [r.pos for r in got] == list(range(5000))
+    (tmp_path / "none").write_bytes(b"")
+    assert binary.read_fixed(spark, str(tmp_path / "none")).df.count() == 0
+    for record, names in (("q", ("value",)), ("<q", ("a", "b")), ("<x", ("a",))):
+        with pytest.raises(ValueError):
+            binary.read_fixed(spark, str(tmp_path / "x"), record, names)
     (tmp_path / "z").write_bytes(b"123")
     with pytest.raises(ValueError):
         binary.read_fixed(spark, str(tmp_path / "z"))
 
 
 def test_plans(spark):
-    windows = [w for w in ordering.shuffle(iota(spark), 1).df._jdf.queryExecution().executedPlan().toString().split("\n") if "Window" in w and "windowspecdefinition" in w and "_number" in w]
-    assert windows and all("_range" in w for w in windows)  # numbering is never global
+    nodes = plan_nodes(ordering.shuffle(iota(spark), 1).df)  # the one exchange of rows has run; what is left counts and sorts its partitions
+    assert nodes["Window"] == 1 and nodes["SortMergeJoin"] == 0 and nodes["BroadcastHashJoin"] == 1
+    jobs = spark.sparkContext.statusTracker()
+    with compose.task_group(spark, "dense"):
+        ordering.sort(iota(spark)).df.write.format("noop").mode("overwrite").save()
+        ran = [s for j in jobs.getJobIdsForGroup("dense") for s in jobs.getJobInfo(j).stageIds]
+    wide = [i for i in map(jobs.getStageInfo, set(ran)) if i and i.numCompletedTasks and "AQEShuffleRead" not in i.name]
+    assert wide  # stages that ran; sampling, the exchange, counts, and the result
     assert not any("Python" in n for n in plan_nodes(reducing.reduce(iota(spark))))
     p = Profiler()
     with p.phase("x"):
