@@ -26,11 +26,10 @@ def stable_partition(seq: Seq, pred: Callable[..., Column], policy: Policy = PAR
     met = F.coalesce(pred(*[F.col(c) for c in seq.columns]), F.lit(False))
     rows = seq.df.withColumn("_met", met).withColumn("_block", F.floor(F.col("pos") / policy.cutoff))
     blocks = rows.groupBy("_block").agg(F.count_if("_met").alias("_hits"), F.count_if(~F.col("_met")).alias("_others"))
-    blocks = sums_before(blocks, "_block", ["_hits", "_others"]).select("_block", "_hits_before", "_others_before")
-    point = rows.agg(F.count_if("_met").alias("_all_hits"))  # one row
+    blocks = sums_before(blocks, "_block", ["_hits", "_others"])
     number = F.row_number().over(Window.partitionBy("_block", "_met").orderBy("pos")) - 1
-    placed = rows.withColumn("_number", number).join(blocks, "_block").crossJoin(F.broadcast(point))
-    pos = F.col("_number") + F.when(F.col("_met"), F.col("_hits_before")).otherwise(F.col("_all_hits") + F.col("_others_before"))
+    placed = rows.withColumn("_number", number).join(blocks, "_block")
+    pos = F.col("_number") + F.when(F.col("_met"), F.col("_hits_before")).otherwise(F.col("_hits_all") + F.col("_others_before"))
     return Seq(placed.withColumn("pos", pos.cast("long")).select("pos", *seq.columns), length=seq._length)
 
 

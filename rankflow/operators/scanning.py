@@ -2,7 +2,7 @@
 
 Blocks of positions are scanned on their own, block totals are scanned by the same method, and the total of the
 blocks before is combined from the left. With blocks of 65,536 elements a third level has a row for 2**32 elements, so
-its window stays small at any size.
+its window stays small at any size; small inputs go without it.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from rankflow.functions.reducers import Reducer, plus
 from rankflow.plans.policy import PAR, Policy
+from rankflow.plans.positions import one_level
 from rankflow.seq import Seq
 
 #: Elements of a block of scans that go through an array, and totals that one window may hold.
@@ -69,7 +70,7 @@ def _scan(rows: DataFrame, reducer: Reducer, block: int, zero: Column, length: i
             length = rows.count()
             blocks = -(-length // block)
         scanned = _scan(before, reducer, block, zero, blocks, level + 1) if blocks > 1 else before
-    elif level == 0 and (blocks is None or blocks > ONE_WINDOW):
+    elif level == 0 and (blocks > ONE_WINDOW if blocks is not None else not one_level(rows)):
         scanned = _scan(before, reducer, block, zero, blocks, level + 1)
     else:
         scanned = before.withColumn("_x", F.coalesce(reducer.aggregate(F.col("_x"), lambda c: c.over(Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))), zero))

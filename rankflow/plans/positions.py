@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows that one window sums up at most, for each level of running sums.
 SPAN = 1 << 16
+#: Bytes of an input, as Spark estimates them, up to which a sum of blocks needs no further level.
+ONE_LEVEL = 64 << 30
 #: Bits of a row's number in ``monotonically_increasing_id``; the partition's number is above them.
 ROW_BITS = 33
 
@@ -43,16 +45,24 @@ def dense_positions(df: DataFrame, keys: Sequence[str], out: str = "pos", descen
     return placed.withColumn(out, F.col("_offset") + F.col("_id").bitwiseAND((1 << ROW_BITS) - 1)).drop("_part", "_offset", "_id")
 
 
+def one_level(df: DataFrame) -> bool:
+    """Whether an input is so small that a row for each of its blocks fits one window; only plans depend on it, not results."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= ONE_LEVEL
+
+
 def sums_before(df: DataFrame, by: str, columns: Sequence[str]) -> DataFrame:
-    """``df`` with ``<column>_before``: the sum of the column over all rows of smaller ``by``, which is a unique whole number.
+    """``by``, and ``<column>_before`` and ``<column>_all``: the column's sum over all rows of smaller ``by``, a unique whole number, and over all.
 
-    Runs of SPAN numbers are summed on their own, and the runs' totals in one window: a row for each SPAN rows of ``df``.
+    Runs of SPAN numbers are summed on their own, and the runs' totals in one window: a row for each SPAN rows of ``df``. A
+    small input goes through one window.
     """
-    runs = df.withColumn("_run", F.floor(F.col(by) / SPAN))
+    small = one_level(df)
+    rows = df.withColumnRenamed(by, "_run") if small else df.groupBy(F.floor(F.col(by) / SPAN).alias("_run")).agg(*[F.sum(c).alias(c) for c in columns])
+    order, whole = Window.orderBy("_run"), Window.partitionBy(F.lit(1))
+    totals = rows.select("_run", *[x for c in columns for x in ((F.sum(c).over(order) - F.col(c)).alias(f"{c}_before"), F.sum(c).over(whole).alias(f"{c}_all"))])
+    if small:
+        return totals.withColumnRenamed("_run", by)
     own = Window.partitionBy("_run").orderBy(by)
-    runs = runs.select("*", *[(F.sum(c).over(own) - F.col(c)).alias(f"_{c}_own") for c in columns])
-    order = Window.orderBy("_run")
-    totals = df.groupBy(F.floor(F.col(by) / SPAN).alias("_run")).agg(*[F.sum(c).alias(f"_{c}_all") for c in columns])
-    totals = totals.select("_run", *[(F.sum(f"_{c}_all").over(order) - F.col(f"_{c}_all")).alias(f"_{c}_runs") for c in columns])
+    runs = df.withColumn("_run", F.floor(F.col(by) / SPAN)).select("_run", by, *[(F.sum(c).over(own) - F.col(c)).alias(f"_{c}") for c in columns])
     joined = runs.join(totals, "_run")
-    return joined.select(*df.columns, *[(F.col(f"_{c}_own") + F.col(f"_{c}_runs")).alias(f"{c}_before") for c in columns])
+    return joined.select(by, *[x for c in columns for x in ((F.col(f"_{c}") + F.col(f"{c}_before")).alias(f"{c}_before"), F.col(f"{c}_all"))])

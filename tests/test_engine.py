@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rankflow import queries
 from rankflow.functions import reducers as R
 from rankflow.operators import compose, filtering, mapping, ordering, reducing, scanning, searching
+from rankflow.plans import positions
 from rankflow.plans.policy import SEQ, Policy
 from rankflow.plans.profiling import Profiler, plan_nodes, work_and_span
 from rankflow.seq import Seq
@@ -55,10 +56,14 @@ def test_zip_needs_enough_elements(spark):
     assert values(mapping.for_each(lambda a, b: a + b, iota(spark, n=10), unknown)) == [2 * i for i in range(10)]
 
 
-@pytest.mark.parametrize("parts", PARTS)
-@pytest.mark.parametrize("cutoff", [7, 100_000])
-def test_partition_and_scan(spark, parts, cutoff):
+@pytest.mark.parametrize("parts", [1, 7])
+@pytest.mark.parametrize("cutoff, levels", [(7, 1), (7, 2), (100_000, 1)])
+def test_partition_and_scan(spark, parts, cutoff, levels, monkeypatch):
     s, p = iota(spark, parts), Policy(cutoff)
+    if levels == 2:
+        s = Seq(s.df)  # of unknown length
+        monkeypatch.setattr(positions, "ONE_LEVEL", 0)
+        monkeypatch.setattr(positions, "SPAN", 16)
     for k in (2, 3):
         hit = [i for i in range(N) if i % k == 0]
         assert values(filtering.stable_partition(s, lambda v, k=k: v % k == 0, p)) == hit + [i for i in range(N) if i % k]
