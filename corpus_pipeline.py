@@ -56,7 +56,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One and a half times all words, sources weighing 3, 1, 2; taken documents repeat."""
-    return mixing.mix(docs, weights=(3, 1, 2), budget=1.5, max_repeats=2).select(*docs.columns)
+    return mixing.mix_in_order(docs, weights=(3, 1, 2), budget=1.5, max_repeats=2).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
