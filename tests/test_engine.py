@@ -14,6 +14,7 @@ from rankflow.plans import positions
 from rankflow.plans.policy import SEQ, Policy
 from rankflow.plans.profiling import Profiler, plan_nodes, work_and_span
 from rankflow.seq import Seq
+from rankflow.session import DEFAULTS, options
 from rankflow.sources import binary
 
 N = 2000
@@ -353,3 +354,8 @@ def test_equal_prefix_query_reads_all_but_the_last(spark, tmp_path, odd, want):
     rows = [(i, float("nan") if i == odd else float(i)) for i in range(3000)]  # NaN equals nothing
     spark.createDataFrame(rows, "event_id long, value double").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
     assert one(queries.QUERIES["equal_prefix"](spark, str(tmp_path))) is want
+
+
+def test_session_options(spark):
+    shown = options(spark)
+    assert shown["spark.sql.adaptive.enabled"] == "true" and shown["spark.master"] == "local[4]" and set(DEFAULTS) < set(shown)
