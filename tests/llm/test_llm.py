@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -129,11 +130,11 @@ def test_text_stats_of_long_texts(spark, monkeypatch):
 def test_rules_learn_thresholds(spark):
     rows = [(i, prose(i, 100, 5000) + (" ***" * 30 if i % 4 == 0 else ""), int(i % 4 != 0)) for i in range(240)]
     df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
-    rules = quality_rules.learn_rules(quality_rules.text_stats(df), df.select("doc_id", "quality"))
+    rules = quality_rules.learn_rules(quality_rules.labelled_stats(df, df.select("doc_id", "quality")))
     assert 1 <= len(rules) <= 3
     for r in quality_rules.apply_rules(df, df.select("doc_id", "quality")).collect():
         assert r.kept == (r.doc_id % 4 != 0) or r.base_failed
-    assert quality_rules.learn_rules(quality_rules.text_stats(df), df.where("false").select("doc_id", "quality")) == []
+    assert quality_rules.learn_rules(quality_rules.labelled_stats(df, df.where("false").select("doc_id", "quality"))) == []
 
 
 def test_sharding(docs, texts):
@@ -241,31 +242,42 @@ def test_common_tokens(monkeypatch):
 def test_token_levels_do_not_depend_on_partitions(spark):
     """A token that one task alone sees more than 255 times is counted in full."""
     df = spark.createDataFrame([(i, f"a b c d{i % 3}") for i in range(3000)], "doc_id long, text string")
-    (one, limit), (many, again) = (jaccard_join.token_levels(df.selectExpr("doc_id", "cast(text as binary) text").repartition(n), 3) for n in (1, 20))
-    tables = [jaccard_join.unpacked(x, jaccard_join.SLOTS) for x in (one, many)]
-    assert limit == again and np.array_equal(*tables)
+    (size, one, limit), (same, many, again) = (jaccard_join.token_levels(df.selectExpr("doc_id", "cast(text as binary) text").repartition(n), 3) for n in (1, 20))
+    tables = [jaccard_join.unpacked(x, size) for x in (one, many)]
+    assert limit == again and size == same and np.array_equal(*tables)
     assert sorted(tables[0][tables[0] > 0]) == sorted(jaccard_join.levels(np.array([1000, 1000, 1000, 3000]))) and limit < tables[0].max()
 
 
-@pytest.mark.parametrize("percent", [80, 90])
-def test_signatures_meet_for_all_similar_sets(percent):
-    """Pairs at or above the threshold share an index entry, whatever is frequent."""
+@pytest.mark.parametrize("percent", [51, 80, 90, 100])
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_signatures_meet_for_all_similar_sets(percent, k):
+    """Pairs at or above the threshold share an index entry, whatever is frequent and however large they are."""
     r = np.random.default_rng(5)
-    for trial in range(400):
-        n = int(r.integers(9, 400))
+    for trial in range(300):
+        n = int(r.integers(1, 12 if trial % 3 == 0 else 400 if trial % 3 == 1 else 5000))
         tokens = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
-        drop, add = int(r.integers(0, n // 8 + 1)), int(r.integers(0, n // 8 + 1))
+        drop, add = int(r.integers(0, n // 4 + 1)), int(r.integers(0, n // 4 + 1))
         other = np.unique(np.concatenate([r.permutation(tokens)[drop:], r.integers(0, 2**63, add).astype(np.uint64)]))
         m = len(np.intersect1d(tokens, other))
-        if 100 * m >= percent * (len(tokens) + len(other) - m):
-            counts = np.ones(jaccard_join.SLOTS, np.uint8)
-            hot = r.random() * 1.2
+        if m and not np.array_equal(tokens, other) and 100 * m >= percent * (len(tokens) + len(other) - m):
             both = np.unique(np.concatenate([tokens, other]))
-            counts[(both[r.random(len(both)) < hot] & np.uint64(jaccard_join.SLOTS - 1)).astype(np.int64)] = 200
-            a, b = (jaccard_join.signatures(x, counts, 100, percent) for x in (tokens, other))
+            counts = np.zeros(1 << 20, np.uint8)  # as few as hold for these two sets alone
+            np.add.at(counts, (np.concatenate([tokens, other]) & np.uint64(len(counts) - 1)).astype(np.int64), 1)
+            hot = r.random() * 1.2
+            counts[(both[r.random(len(both)) < hot] & np.uint64(len(counts) - 1)).astype(np.int64)] = 200
+            a, b = (jaccard_join.signatures(x, counts, 100, percent, k) for x in (tokens, other))
             assert len(np.intersect1d(a, b)), (trial, n, m)
 
 
+def test_entries_grow_in_proportion():
+    """Also where all tokens are frequent, a set has few entries for each token."""
+    r = np.random.default_rng(6)
+    counts = np.full(1 << 16, 200, np.uint8)
+    for percent, n in ((80, 100), (80, 1000), (80, 30_000), (90, 300), (90, 30_000)):
+        entries = jaccard_join.signatures(np.unique(r.integers(0, 2**63, n).astype(np.uint64)), counts, 100, percent)
+        assert len(entries) < 2 * n, (percent, n, len(entries))
+
+
 def test_components(spark):
     r = random.Random(1)
     links = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(1000 + i, 1001 + i) for i in range(60)]
@@ -390,15 +402,36 @@ def test_bpe_trie(texts, fuzz):
     path = public_tokenizers.path("word_bpe_49k.json")
     tok, own = Tokenizer.from_file(path), bpe_trie.TrieEncoder(path)
     some = [*[t or "" for t in texts], *fuzz]
-    for t, (ids, decoded) in zip(some, own.encode_batch(some)):
-        want = tok.encode(t, add_special_tokens=False).ids
-        assert ids == " ".join(map(str, want)) and decoded == tok.decode(want, skip_special_tokens=False)
+    for t, raw in zip(some, own.encode(pa.array(some))):
+        want, ids = tok.encode(t, add_special_tokens=False).ids, np.frombuffer(raw, "<u4")
+        assert ids.tolist() == want and own.decode(ids) == own.decode(want) == tok.decode(want, skip_special_tokens=False)
+    for text in (" ".join(some), "x" * 3000 + " " * 9 + "y"):
+        assert np.frombuffer(own.encode_long(text, 200), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+    assert own.decode([0, 10**6]) == tok.decode([0, 10**6], skip_special_tokens=False)
+    with pytest.raises(ValueError, match="rules"):
+        bpe_trie.TrieEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_byte_level_encoder(texts, fuzz):
+    """Texts cut at spaces, long ones in parts, and files with other rules, against whole texts."""
+    tok, own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), token_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    some = [*[t or "" for t in texts], *fuzz, " ", "  ", "   a", "a   b", "a \n b", "a\n", " a ", "x<|endoftext|> y"]
+    for t, raw in zip(some, own.encode(pa.array(some))):
+        assert np.frombuffer(raw, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+    text = " ".join(some)
+    assert np.frombuffer(own.encode_long(text, 50), "<u4").tolist() == tok.encode(text, add_special_tokens=False).ids
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, own = Tokenizer.from_file(path), token_files.Encoder(path)
+    assert not own.by_word
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.encode(pa.array(some))] == [tok.encode(t, add_special_tokens=False).ids for t in some]
 
 
 def test_bpe_rows(docs, texts):
     path = public_tokenizers.path("word_bpe_49k.json")
     full, short = rows_of(bpe_trie.encode(docs, path)), rows_of(bpe_trie.digest(docs, path))
     assert len(full) == len(short) == len(texts)
+    again = rows_of(bpe_trie.decode(bpe_trie.encode(docs, path).drop("decoded"), path))
+    assert {i: r.decoded for i, r in again.items()} == {i: r.decoded for i, r in full.items()}
     for i in full:
         assert hashlib.sha256(" ".join(map(str, full[i].ids)).encode()).hexdigest() == short[i].ids_sha256 and short[i].n_tokens == len(full[i].ids)
 
@@ -452,28 +485,61 @@ def exact_links(vectors, labels):
     return links
 
 
-def test_embedding_dedup(spark):
+@pytest.mark.parametrize("few, block", [(10**9, 512), (0, 512), (0, 3), (256, 5)])
+def test_embedding_dedup(spark, few, block, monkeypatch):
+    """Joined cells, cells in blocks, and both give the same links; repeated and null ids, odd vectors."""
+    monkeypatch.setattr(embedding_dedup, "FEW_PAIRS", few)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
     r = np.random.default_rng(1)
     vectors, labels = [], []
-    for c in range(30):
+    for c in range(12):
         centre = r.normal(size=32)
-        for k in range(8):
+        for k in range(8 if c else 40):
             v = centre + (0 if k < 3 else 0.1) * r.normal(size=32)
             vectors.append([float(np.float32(x)) for x in v])
             labels.append(c % 3)
+    vectors += [[float(x) for x in range(1, 9)], [float(x) for x in range(1, 9)], [float(2 * x) for x in range(1, 9)]]  # of another length
+    labels += [0, 0, 0]
     odd = [None, [], [0.0] * 32, [float("nan")] + [1.0] * 31, [float("inf")] + [1.0] * 31, [None] + [1.0] * 31, [1e-30] * 32, [1e30] * 32]
     vectors += [*odd, vectors[0]]
     labels += [0] * len(odd) + [None]
-    df = spark.createDataFrame([(i, v, lab) for i, (v, lab) in enumerate(zip(vectors, labels))], "vec_id long, embedding array<float>, label int").withColumn("cid", F.lit(3))
-    got, links = rows_of(embedding_dedup.near_duplicates(df), "vec_id"), exact_links(vectors, labels)
+    df = spark.createDataFrame([(i, v, lab) for i, (v, lab) in enumerate(zip(vectors, labels))], "vec_id long, embedding array<float>, label int")
+    extra = spark.createDataFrame([(None, vectors[0], 0)], df.schema)
+    df = df.union(extra).withColumn("cid", F.lit(3)).withColumn("home", F.lit("clash"))
+    rows = embedding_dedup.near_duplicates(df).collect()
+    assert [(x.n_links, x.component_id, x.kept) for x in rows if x.vec_id is None] == [(0, None, True)]
+    got, links = {x.vec_id: x for x in rows if x.vec_id is not None}, exact_links(vectors, labels)
     assert len(got) == len(vectors)
     found, true = sum(r.n_links for r in got.values()), sum(map(len, links.values()))
-    assert 0.95 * true <= found <= true
+    assert 0.98 * true <= found <= true
     for i, r in got.items():
         assert r.kept == (r.component_id == i) and r.component_id <= i
         assert r.n_links <= len(links[i])
 
 
+@pytest.mark.parametrize("dim", [16, 64, 256])
+def test_recall_at_the_threshold(spark, dim):
+    """Random pairs at a cosine of just above 0.98, each with a partner of its own."""
+    r = np.random.default_rng(dim)
+    x = r.normal(size=(400, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = r.normal(size=(400, dim))
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    y = 0.9803 * x + np.sqrt(1 - 0.9803**2) * y
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([x, y]))], "vec_id long, embedding array<double>, label int")
+    got = rows_of(embedding_dedup.near_duplicates(df), "vec_id")
+    assert sum(got[i].n_links > 0 and got[400 + i].component_id == got[i].component_id for i in range(400)) >= 0.97 * 400
+
+
+def test_embedding_ids_that_repeat(spark):
+    r = np.random.default_rng(4)
+    a, b = r.normal(size=(2, 16)).tolist()
+    df = spark.createDataFrame([(1, a, 0), (1, a, 0), (1, b, 0), (2, b, 0)], "vec_id long, embedding array<double>, label int")
+    got = sorted((x.vec_id, x.n_links, x.component_id, x.kept) for x in embedding_dedup.near_duplicates(df).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False)]
+
+
 def test_lattice_decoding_is_nearest():
     r = np.random.default_rng(2)
     x = r.normal(size=(500, 8)) * 2
@@ -514,3 +580,139 @@ def test_near_duplicates_by_row(spark):
     kept = Counter((r.doc_id, r.text) for r in got.collect())
     assert kept == Counter([(1, a), (2, b), (3, c), (None, d), (4, " "), (4, " "), (None, None)])
     assert Counter(got.collect()) == Counter(corpus_pipeline.near_duplicates(spark, docs.repartition(5), "").collect())
+
+
+@pytest.fixture(scope="module")
+def odd_rows(spark):
+    """Repeated ids, rows without an id, repeated rows, nulls, and columns that operators use themselves."""
+    a, b, c = (prose(700 + i, 60 + i, 10_000) for i in range(3))
+    rows = [(1, a, "x"), (1, a, "x"), (1, b, "x"), (None, a, "x"), (None, None, None), (2, "", "y"), (2, " \n", None), (3, c, "y"), (None, c, "y"), (4, b + " end", "y")]
+    df = spark.createDataFrame([(i, t, s, "en", len(t or "")) for i, t, s in rows], "doc_id long, text string, source string, lang string, n_chars long").repartition(4)
+    for name in ("_row", "_key", "_route", "_blob", "_draw", "draws", "_slice", "_id", "_label", "_text", "_y", "shard", "slot", "entry", "k", "cell"):
+        df = df.withColumn(name, F.lit("clash"))
+    return df.cache()
+
+
+def pairs_of(df, *columns):
+    return Counter(tuple(r[c] for c in columns) for r in df.collect())
+
+
+def test_odd_rows_in_text_operators(spark, odd_rows):
+    texts = [(r.doc_id, r.text) for r in odd_rows.collect()]
+    words = {t: len(WORD.findall(t or "")) for _, t in texts}
+    cut = substring_dedup.remove_repeats(odd_rows)
+    assert cut.columns == odd_rows.columns and {r._blob for r in cut.collect()} == {"clash"}
+    assert pairs_of(substring_dedup.digest(odd_rows), "doc_id", "n_words") == Counter((i, words[t]) for i, t in texts)
+    labels = spark.createDataFrame([(1, 1), (1, 0), (None, 1), (2, None), (9, 0)], "doc_id long, quality int")
+    stats = quality_rules.apply_rules(odd_rows, labels)
+    assert pairs_of(stats, "doc_id", "n_words", "base_failed") == Counter((i, words[t], words[t] < 50) for i, t in texts)
+    assert quality_rules.labelled_stats(odd_rows, labels).count() == 6 and quality_rules.labelled_stats(odd_rows, labels, max_labelled=2).count() == 2
+    byte, word = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    tok = Tokenizer.from_file(byte)
+    written = token_files.read_token_files(token_files.write_token_files(odd_rows, byte, files=3)).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in written) == Counter((i, len(tok.encode(t or "").ids) + 1) for i, t in texts)
+    ordered = sorted(written, key=lambda r: r.start)
+    assert [r.doc_id is None for r in ordered] == [True] * 3 + [False] * 7 and [r.doc_id for r in ordered[3:]] == sorted(i for i, _ in texts if i is not None)
+    tok = Tokenizer.from_file(word)
+    assert pairs_of(bpe_trie.digest(odd_rows, word), "doc_id", "n_tokens") == Counter((i, len(tok.encode(t or "", add_special_tokens=False).ids)) for i, t in texts)
+
+
+def test_odd_rows_in_joins(odd_rows):
+    texts = [(r.doc_id, r.text) for r in odd_rows.collect()]
+    for ngram, percent in ((3, 90), (5, 80)):
+        known = [(i, t) for i, t in texts if i is not None]
+        sets = brute_components([t for _, t in known], ngram, percent)
+        first = {c: min(known[j][0] for j, (_, d) in sets.items() if d == c) for _, c in sets.values()}
+        want = Counter((i, sets[j][0], first[sets[j][1]]) for j, (i, _) in enumerate(known))
+        want += Counter((None, brute_components([t], ngram, percent)[0][0], None) for i, t in texts if i is None)
+        assert pairs_of(jaccard_join.near_duplicates(odd_rows, ngram, percent), "doc_id", "n_shingles", "component_id") == want
+
+
+def test_odd_rows_in_sharding_and_mixing(odd_rows):
+    texts = [(r.doc_id, r.text) for r in odd_rows.collect()]
+    shards = sharding.interleave_shards(odd_rows, 3).collect()
+    assert Counter((r.doc_id, r.size) for r in shards) == Counter((i, len((t or "").encode()) + 8) for i, t in texts)
+    assert sorted(Counter(r.shard for r in shards).values()) == [3, 3, 4]
+    assert all(sorted(r.slot for r in shards if r.shard == s) == list(range(sum(r.shard == s for r in shards))) for s in range(3))
+    planned = mixing.plan_mix(odd_rows, shards=2).collect()
+    assert Counter((r.doc_id, r.size) for r in planned) == Counter((i, len(WORD.findall(t or ""))) for i, t in texts)
+    mixed, laid = (f(odd_rows, shards=2) for f in (mixing.mix, mixing.mix_in_order))
+    assert mixed.columns[-2:] == ["shard", "slot"] and laid.columns[-1] == "shard" and {r._row for r in mixed.collect()} == {"clash"}
+    taken = Counter({(r.doc_id, r.size): 0 for r in planned})
+    for r in planned:
+        taken[r.doc_id, r.size] += len(r.draws)
+    for rows in (mixed.collect(), laid.collect()):
+        assert Counter((r.doc_id, len(WORD.findall(r.text or ""))) for r in rows) == +taken
+    assert pairs_of(mixed, "doc_id", "shard") == pairs_of(laid, "doc_id", "shard")
+
+
+def test_odd_rows_in_the_classifier(spark, odd_rows):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (4, 0), (None, 1), (9, None)], "doc_id long, quality int")
+    found = quality_classifier.train(odd_rows.withColumn("doc_id", F.expr("coalesce(doc_id, 5)")), labels, max_labelled=3)
+    scored = quality_classifier.score(odd_rows, found)
+    assert scored.count() == odd_rows.count() and scored.where("kept is null").count() == 0
+
+
+def test_mixed_rows_are_laid_out_by_shard_and_key(spark, docs, tmp_path):
+    """Files hold the shards in order, each shuffled: neighbours in a source's order are apart."""
+    rows = spark.range(600).selectExpr("id as doc_id", "concat('a b ', id) as text", "if(id % 3 = 0, 'x', 'y') as source")
+    laid = mixing.mix_in_order(rows, shards=4)
+    laid.write.parquet(str(tmp_path / "laid"))
+    read = [r for p in sorted((tmp_path / "laid").glob("part-*")) for r in spark.read.parquet(str(p)).collect()]
+    assert [r.shard for r in read] == sorted(r.shard for r in read) and {r.shard for r in read} == set(range(4))
+    slots = sorted(mixing.mix(rows, shards=4).collect(), key=lambda r: (r.shard, r.slot))
+    assert [(r.doc_id, r.shard) for r in read] == [(r.doc_id, r.shard) for r in slots]
+    steps = [abs(a.doc_id - b.doc_id) for a, b in zip(read, read[1:])]
+    assert sum(steps) / len(steps) > 100
+
+
+def test_splitting_tree(spark):
+    """Leaves hold equally many units and together the quotas; a source's share is a hypergeometric draw."""
+    quotas = spark.createDataFrame([(False, f"s{i:02d}", 24 + i % 3) for i in range(60)], "_none boolean, _source string, _quota int")
+    units = mixing._split_tree(quotas, 5, 42).collect()
+    total = sum(24 + i % 3 for i in range(60))
+    assert len({(r._source, r._unit) for r in units}) == len(units) == total
+    leaves = Counter(r.shard for r in units)
+    assert set(leaves) == set(range(5)) and max(leaves.values()) - min(leaves.values()) <= 3  # one for each level
+    assert Counter(r._source for r in units) == Counter({f"s{i:02d}": 24 + i % 3 for i in range(60)})
+    halves = mixing._split_tree(quotas, 2, 7).collect()
+    left = [sum(r.shard == 0 for r in halves if r._source == f"s{i:02d}") / (24 + i % 3) for i in range(60)]
+    mean, spread = np.mean(left), np.std(left)
+    assert abs(mean - 0.5) < 0.02 and 0.07 < spread < 0.13  # of a draw of half of 1,500 units: 0.1
+    again, other = mixing._split_tree(quotas, 2, 7).collect(), mixing._split_tree(quotas, 2, 8).collect()
+    assert Counter(again) == Counter(halves) != Counter(other)
+
+
+def test_drawn_blocks_are_disjoint(docs):
+    """Every epoch of a document goes to one shard, and quotas are the blocks that the target reaches."""
+    planned = mixing.plan_mix(docs, shards=4).collect()
+    for r in planned:
+        assert len({d.epoch for d in r.draws}) == len(r.draws) <= 2 and all(0 <= d.shard < 4 for d in r.draws)
+    assert len({d.shard for r in planned for d in r.draws}) == 4
+
+
+def test_formatted_chat_is_read_in_any_order(spark, tmp_path, monkeypatch):
+    rows = [(c, t, "user" if t % 2 else "assistant", f"turn {t} of {c} " * 9) for c in [*range(30), None] for t in range(6)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    formatted = spark.createDataFrame([r for b in chat._format(iter(df.orderBy("conv_id", "turn").toArrow().to_batches())) for r in b.to_pylist()], chat.FORMATTED)
+    split = formatted.where("conv_id = 3 or conv_id is null").select("conv_id").collect()
+    assert len(split) == 2
+    want = rows_of(chat.read_chat(chat.format_chat(df)), "conv_id")
+    formatted.repartition(7).write.parquet(str(tmp_path / "chat"))
+    assert rows_of(chat.read_chat(spark.read.parquet(str(tmp_path / "chat")).withColumn("n_turns", F.lit(0))), "conv_id") == want
+    with pytest.raises(Exception, match="part"):
+        chat.read_chat(formatted.withColumn("part", F.lit(1))).collect()
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd_rows):
+    """No stage fails on nulls, repeated rows, clashing names or an empty table; clean rows and their columns stay."""
+    d = "/root/testdata/sf0.001"
+    for docs in (odd_rows, odd_rows.where("false")):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, d)
+            if name != "tokens":
+                assert out.columns == docs.columns, name
+            assert out.count() <= (n if name != "mixture" else 2 * n), name
+    kept = corpus_pipeline.near_duplicates(spark, odd_rows, d)
+    assert len({r.text for r in kept.where("text rlike 'w'").collect()}) == kept.where("text rlike 'w'").count() == 3
