@@ -132,12 +132,12 @@ def plan_mix(docs: DataFrame, shards: int = 16, seed: int = 42, weights: tuple[f
     )
 
 
-def _drawn(docs: DataFrame, shards: int, seed: int, id_col: str, text_col: str, source_col: str, options: dict) -> DataFrame:
-    """``_row, shard, _key``: each taken row once for each draw, and its place in the shard's random order.
+def _drawn(docs: DataFrame, replaced: tuple[str, ...], shards: int, seed: int, id_col: str, text_col: str, source_col: str, options: dict) -> DataFrame:
+    """``_row, shard, _key``: each taken row once for each draw, without the replaced columns, and its place in the shard's random order.
 
     Rows that are equal in all columns have equal keys, and their copies may change places.
     """
-    columns = [f"`{c}`" for c in docs.columns if c not in ("shard", "slot")]
+    columns = [f"`{c}`" for c in docs.columns if c not in replaced]
     own = F.struct(*columns)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"), own.alias("_row"))
     planned = plan_mix(rows, shards, seed, keep=["_row"], **options)
@@ -153,7 +153,7 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 42, id_col: str = "doc_id
     shuffled within their shard by a seeded key; slots count from 0. Shards are numbered in slices of their key, so
     a shard does not meet in one task. Nulls, repeated rows and empty tables: see :func:`plan_mix`.
     """
-    rows = _drawn(docs, shards, seed, id_col, text_col, source_col, options).withColumn("_slice", hex_cell(F.col("_key")))
+    rows = _drawn(docs, ("shard", "slot"), shards, seed, id_col, text_col, source_col, options).withColumn("_slice", hex_cell(F.col("_key")))
     slices = rows.groupBy("shard", "_slice").agg(F.count("*").alias("_n"))  # SLICES rows at most for a shard
     slices = slices.withColumn("_before", F.sum("_n").over(Window.partitionBy("shard").orderBy("_slice")) - F.col("_n")).drop("_n")
     number = F.row_number().over(Window.partitionBy("shard", "_slice").orderBy("_key"))
@@ -161,13 +161,15 @@ def mix(docs: DataFrame, shards: int = 16, seed: int = 42, id_col: str = "doc_id
     return rows.select("_row.*", "shard", (F.col("_before") + F.col("_number") - 1).cast("long").alias("slot"))
 
 
-def mix_in_order(docs: DataFrame, shards: int = 16, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of :func:`mix` with ``shard``, laid out for writing: partitions by shard and key, each sorted.
+def mix_in_order(docs: DataFrame, shards: int = 16, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_shard: bool = True, **options) -> DataFrame:
+    """The rows of :func:`mix`, laid out for writing: partitions by shard and key, each sorted.
+
+    ``shard`` replaces a column of that name, or, without ``with_shard``, the columns are those of ``docs``.
 
     Files written from it and read by name hold shard after shard, each in its shuffled order. Keys are
     uniform hashes, so equal slices of them make even partitions and no sample is needed.
     """
-    rows = _drawn(docs, shards, seed, id_col, text_col, source_col, options)
+    rows = _drawn(docs, ("shard",) if with_shard else (), shards, seed, id_col, text_col, source_col, options)
     slices = -(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards)
     place = F.expr(f"cast(shard * {slices} + cast(conv(substring(_key, 1, 7), 16, 10) as bigint) * {slices} div {16**7} as int)")
-    return rows.repartitionById(shards * slices, place).sortWithinPartitions("shard", "_key").select("_row.*", "shard")
+    return rows.repartitionById(shards * slices, place).sortWithinPartitions("shard", "_key").select("_row.*", *["shard"] * with_shard)
