@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,3 +45,17 @@ def components(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     found = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     centres = edges.select(F.col("b").alias("node")).distinct().union(alone).distinct()
     return found.union(centres.join(found, "node", "left_anti").select("node", F.col("node").alias("component")))
+
+
+def spanning(a: np.ndarray, b: np.ndarray, size: int) -> list[int]:
+    """Indices of those of the links a, b that join what the links before them have not joined."""
+    root, kept = list(range(size)), []
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        if x != y:
+            root[x] = y
+            kept.append(i)
+    return kept

@@ -4,16 +4,17 @@ A document's tokens are its distinct word n-grams. Documents with equal sets for
 is handled once. For sets whose Jaccard similarity reaches the threshold:
 
 * Tokens are ordered from rare to frequent. Of a set of n tokens a partner misses at most
-  m = n - ceil(threshold * n). Rare tokens are indexed one by one: a prefix of m + 1 of them must
-  meet the partner's prefix. Frequent tokens are indexed as combinations of two: the prefix is
-  extended by one more token, so that c frequent tokens count as c - 1, and partners share
-  a rare token or a pair of frequent ones (if at most m of the prefix's tokens are
-  missing, some class with enough tokens shares its combination size).
-* Sets large enough to make too many pairs index frequent tokens singly; sizes in between, up to
-  the threshold's ratio, do both, so that every possible pair of partners agrees on one.
+  m = n - ceil(threshold * n). Rare tokens are indexed one by one: any m + 1 of them hold one that the partner has.
+* Frequent tokens are dealt to classes by their hash and indexed as combinations of k tokens of one class.
+  c tokens of a class are as good as c - k + 1 rare ones, as a partner that misses fewer has k of them, so
+  the prefix is extended until rare tokens and classes together outnumber the misses. Prefixes are heads of one
+  order, so what the shorter one shares with the partner's set lies in the partner's prefix as well.
+* The number of classes grows with the misses, so entries grow in proportion to a set at any size. Sizes from one power of two to
+  the next, a band, have one number of classes; sets that a partner in the next band can have are indexed for that band too.
+* A token that a single document has needs no entry, as no partner can share it.
 * Candidates are verified on the exact sets.
 
-Frequencies are counted over all documents in a table of fixed size (SLOTS counters, a
+Frequencies are counted over all documents in a table whose size follows the data up to SLOTS counters (a
 token adds to the counter of its hash; no count is capped), which is broadcast in one byte for each counter, its level. Any
 common order is right; the counts only make it a good one: the more tokens share a counter, the
 more candidates are compared in vain. Which documents have candidates at
@@ -26,30 +27,33 @@ further comparison, and the last round compares what is still in different compo
 entries of few members, and blocks of members in larger ones. Large entries of the same leader
 (their member of least hash) overlap and form one group. A task holds two blocks of a
 group, counts common tokens as a product of two matrices, and emits links that span the blocks'
-components, never pairs. So components are exact.
+components, never pairs. So components are exact. What an entry needs to know of all its members (leader, components,
+number) is an aggregate with partial results that is joined back, so that a large entry does not meet in one task.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankflow.llm.common import cut
-from rankflow.llm.components import components
+from rankflow.llm.common import cut, map_arrow
+from rankflow.llm.components import components, spanning
 from rankflow.llm.substring_dedup import forget, mix, rolling, word_hashes
 
-#: Counters of token frequencies, bits of the table of candidates, and parts in which both are made.
-SLOTS, BITS, PARTS = 1 << 26, 1 << 24, 64
+#: Most counters of token frequencies (there is one for so many bytes of text), and bits of the table of candidates.
+SLOTS, SLOT_BYTES, BITS = 1 << 26, 4, 1 << 24
 #: A token is frequent if its counter is this far above twice the mean counter.
 FREQUENT = 256
-#: Sets with at most so many possible misses index pairs of frequent tokens.
-MOST_MISSES = 32
+#: Frequent tokens that are combined, and misses for each class of them.
+COMBINED, CLASS_MISSES = 2, 3
 STAR_ROUNDS = 2
 #: Members up to which the last round compares an entry in pairs; members and tokens of a block beyond; width of a product.
 FEW, BLOCK, BLOCK_TOKENS, WIDTH = 16, 512, 1 << 21, 4096
@@ -75,30 +79,69 @@ def misses(n: int, percent: int) -> int:
     return n - -(-percent * n // 100)
 
 
-def signatures(tokens: np.ndarray, counts: np.ndarray, frequent: float, percent: int) -> np.ndarray:
-    """Index entries of a set."""
+def bands(n: int, percent: int) -> list[int]:
+    """The bands for which a set of n tokens is indexed: its own, and the next where partners can be in it."""
+    own = n.bit_length() - 1
+    return [own, own + 1] if 100 * n >= percent << own + 1 else [own]
+
+
+@cache
+def combining(band: int, percent: int, k: int = COMBINED) -> tuple[int, int]:
+    """Tokens in a combination and classes of frequent tokens, for a band.
+
+    The smallest set that is indexed for the band must have more tokens than its misses and the k - 1 that
+    every class can take without effect; very small sets combine fewer tokens.
+    """
+    least = max(1, -(-percent * (1 << band) // 100))
+    shared = -(-percent * least // 100)  # tokens that the smallest set and its partner have in common
+    while k > 1 and shared <= k - 1:
+        k -= 1
+    wanted = max(1, misses((2 << band) - 1, percent) // CLASS_MISSES)
+    return k, min(wanted, (shared - 1) // (k - 1)) if k > 1 else wanted
+
+
+@cache
+def _choices(n: int, k: int) -> np.ndarray:
+    return np.array(list(itertools.combinations(range(n), k)), np.int64).reshape(-1, k)
+
+
+def combinations(tokens: np.ndarray, needed: int, k: int, classes: int) -> np.ndarray:
+    """Entries of so many frequent tokens, the first ones, that they are worth ``needed`` rare ones."""
+    kind = (mix(tokens) % np.uint64(classes)).astype(np.int64)
+    by_kind = np.argsort(kind, kind="stable")
+    sizes = np.bincount(kind, minlength=classes)
+    rank = np.empty(len(tokens), np.int64)
+    rank[by_kind] = np.arange(len(tokens)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    enough = np.searchsorted(np.cumsum(rank >= k - 1), needed) + 1  # the k-th token of a class is the first that counts
+    tokens, by_kind = tokens[:enough], by_kind[by_kind < enough]
+    out = []
+    for some in np.split(by_kind, np.flatnonzero(np.diff(kind[by_kind])) + 1):
+        if len(some) >= k:
+            chosen = tokens[some][_choices(len(some), k)]  # in the order of frequency, which partners share
+            entry = mix(chosen[:, 0])
+            for column in chosen.T[1:]:
+                entry = mix(entry * np.uint64(BASE) + column)
+            out.append(entry)
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def signatures(tokens: np.ndarray, counts: np.ndarray, frequent: float, percent: int, k: int = COMBINED) -> np.ndarray:
+    """Index entries of a set; ``counts`` has the levels of a power of two of counters."""
     size = len(tokens)
     m = misses(size, percent)
-    count = counts[(tokens & np.uint64(SLOTS - 1)).astype(np.int64)]
-    take = min(len(tokens), m + 2)
-    if len(tokens) > 4 * take:  # only the head of the order is needed
+    count = counts[(tokens & np.uint64(len(counts) - 1)).astype(np.int64)]
+    plans = [combining(b, percent, k) for b in bands(size, percent)]
+    take = min(size, m + 1 + max((k_ - 1) * classes for k_, classes in plans))
+    if size > 4 * take:  # only the head of the order is needed
         edge = np.partition(count, take - 1)[take - 1]
         near = count <= edge
         tokens, count = tokens[near], count[near]
     order = np.lexsort((tokens, count))[:take]
-    tokens, rare = tokens[order], int((count[order] < frequent).sum())
-    # partners' sizes differ by the threshold's ratio at most: both index pairs, or both singly
-    most = MOST_MISSES * 100 // (100 - percent) if percent < 100 else 1 << 30
-    with_pairs, singly = size <= most, 100 * size > percent * most
-    if rare >= m + 1:
-        return tokens[: m + 1]
-    out = []
-    if with_pairs:
-        hot = tokens[rare:]
-        i, j = np.triu_indices(len(hot), 1)
-        out += [tokens[:rare], mix(hot[i] * np.uint64(BASE) + mix(hot[j]))]
-    if singly:
-        out.append(tokens[: m + 1])
+    tokens, count = tokens[order], count[order]
+    rare = min(m + 1, int((count < frequent).sum()))
+    out = [tokens[:rare][count[:rare] > 1]]
+    if rare <= m:
+        out += [combinations(tokens[rare:], m + 1 - rare, k_, classes) for k_, classes in plans]
     return np.unique(np.concatenate(out))
 
 
@@ -113,20 +156,18 @@ def levels(counts: np.ndarray) -> np.ndarray:
     return np.where(counts < 128, counts, np.minimum(255, 128 + np.floor(8 * np.log2(np.maximum(counts, 128) / 128)))).astype(np.uint8)
 
 
-def _packed(parts: Iterator[tuple[int, np.ndarray]]) -> pa.RecordBatch:
-    numbers, arrays = zip(*parts)
-    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in arrays], pa.binary())], ["part", "table"])
+def _table(part: int, *blobs: np.ndarray) -> pa.RecordBatch:
+    """A row with the number of a part and compressed arrays."""
+    return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([zlib.compress(x.tobytes(), 1)], pa.binary()) for x in blobs)], ["part", "table", "slots", "above"][: 1 + len(blobs)])
 
 
 PACKED = "part int, table binary"
-
-
 COUNTED = "part int, table binary, slots binary, above binary"
 
 
-def _count_slots(ngram: int):
+def _count_slots(ngram: int, size: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, waiting, size = np.zeros(SLOTS, np.uint8), [], 0
+        counts, waiting, held = np.zeros(size, np.uint8), [], 0
         above: dict[int, int] = {}  # what the few counters that are full have counted beyond 255
 
         def add() -> None:
@@ -139,21 +180,20 @@ def _count_slots(ngram: int):
 
         for batch in batches:
             for _, text in _texts(batch):
-                waiting.append((token_set(text, ngram) & np.uint64(SLOTS - 1)).astype(np.uint32))
-                size += len(waiting[-1])
-                if size > 1 << 21:
+                waiting.append((token_set(text, ngram) & np.uint64(size - 1)).astype(np.uint32))
+                held += len(waiting[-1])
+                if held > 1 << 20:
                     add()
-                    waiting, size = [], 0
-        if size:
+                    waiting, held = [], 0
+        if held:
             add()
         forget()
         slots = np.sort(np.fromiter(above, np.int64, len(above)))
-        more, width = np.array([above[s] for s in slots.tolist()], np.int64), SLOTS // PARTS
-        for i, part in enumerate(np.split(counts, PARTS)):
+        more, width = np.array([above[s] for s in slots.tolist()], np.int64), size // parts
+        for i, part in enumerate(np.split(counts, parts)):
             if part.any():
                 lo, hi = np.searchsorted(slots, [i * width, (i + 1) * width])
-                packed = [zlib.compress(x.tobytes(), 1) for x in (part, slots[lo:hi] - i * width, more[lo:hi])]
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], ["part", "table", "slots", "above"])
+                yield _table(i, part, slots[lo:hi] - i * width, more[lo:hi])
 
     return run
 
@@ -163,27 +203,39 @@ def _add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, *blobs in zip(batch.column("part").to_pylist(), *(batch.column(c) for c in ("table", "slots", "above"))):
             table, slots, above = (np.frombuffer(zlib.decompress(x.as_py()), kind) for x, kind in zip(blobs, (np.uint8, np.int64, np.int64)))
-            sums[part] = sums.get(part, 0) + table.astype(np.int64)
+            if part not in sums:
+                sums[part] = np.zeros(len(table), np.int64)
+            sums[part] += table
             sums[part][slots] += above
     for part, counts in sums.items():
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(levels(counts).tobytes(), 1)], pa.binary()), pa.array([int(counts.sum())], pa.int64())], ["part", "table", "total"])
 
 
-def token_levels(rows: DataFrame, ngram: int) -> tuple[list[tuple[int, bytes]], int]:
-    """Documents by token slot over all rows, as levels, and the level from which tokens are frequent.
+def _parts(rows: DataFrame) -> int:
+    """A power of two of parts in which tables are added up: as many as shuffle partitions, and 64 at least."""
+    return 1 << max(6, (int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+
+
+def token_levels(rows: DataFrame, ngram: int) -> tuple[int, list[tuple[int, bytes]], int]:
+    """The number of counters, documents by counter over all rows as levels, and the level from which tokens are frequent.
 
-    PARTS compressed tables of fixed size pass through the driver.
+    Compressed tables, of SLOTS bytes together at most before compression, pass through the driver.
     """
-    parts = rows.mapInArrow(_count_slots(ngram), COUNTED).repartition(PARTS, "part").mapInArrow(_add_counts, PACKED + ", total long").collect()
-    mean = sum(p.total for p in parts) / SLOTS
-    return [(p.part, bytes(p.table)) for p in parts], int(levels(np.array(2 * mean + FREQUENT)))
+    text = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    parts = _parts(rows)
+    size = max(parts << 10, min(SLOTS, 1 << max(0, text // SLOT_BYTES - 1).bit_length()))
+    counted = map_arrow(rows, _count_slots(ngram, size, parts), COUNTED).repartitionById(parts, "part")
+    found = map_arrow(counted, _add_counts, PACKED + ", total long").collect()
+    mean = sum(p.total for p in found) / size
+    return size, [(p.part * (size // parts), bytes(p.table)) for p in found], int(levels(np.array(2 * mean + FREQUENT)))
 
 
 def unpacked(parts: list[tuple[int, bytes]], size: int) -> np.ndarray:
-    """One table of the parts that are there; the others are zero."""
-    table, width = np.zeros(size, np.uint8), size // PARTS
-    for part, blob in parts:
-        table[part * width : (part + 1) * width] = np.frombuffer(zlib.decompress(blob), np.uint8)
+    """One table of the parts that are there, by where they start; the others are zero."""
+    table = np.zeros(size, np.uint8)
+    for at, blob in parts:
+        part = np.frombuffer(zlib.decompress(blob), np.uint8)
+        table[at : at + len(part)] = part
     return table
 
 
@@ -195,9 +247,9 @@ def _set_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     bits = np.zeros(BITS, bool)
     for batch in batches:
         bits[_bit_slots(batch.column("doc_id").to_numpy(zero_copy_only=False))] = True
-    for i, part in enumerate(np.split(bits, PARTS)):
+    for i, part in enumerate(np.split(bits, 64)):
         if part.any():
-            yield _packed([(i, np.packbits(part))])
+            yield _table(i, np.packbits(part))
 
 
 def _or_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,13 +257,14 @@ def _or_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part, blob in zip(batch.column("part").to_pylist(), batch.column("table")):
             found[part] = found.get(part, np.uint8(0)) | np.frombuffer(zlib.decompress(blob.as_py()), np.uint8)
-    if found:
-        yield _packed(found.items())
+    for part, table in found.items():
+        yield _table(part, table)
 
 
 def id_bits(ids: DataFrame) -> list[tuple[int, bytes]]:
-    """A bit table of the ids' hashes; PARTS compressed tables of fixed size pass through the driver."""
-    return [(p.part, bytes(p.table)) for p in ids.select("doc_id").mapInArrow(_set_bits, PACKED).repartition(PARTS, "part").mapInArrow(_or_bits, PACKED).collect()]
+    """A bit table of the ids' hashes; compressed tables of fixed size pass through the driver."""
+    set_bits = map_arrow(ids.select("doc_id"), _set_bits, PACKED).repartitionById(64, "part")
+    return [(p.part * (BITS // 8 // 64), bytes(p.table)) for p in map_arrow(set_bits, _or_bits, PACKED).collect()]
 
 
 def _signed(x: int) -> int:
@@ -222,9 +275,9 @@ def _set_key(tokens: np.ndarray) -> int:
     return _signed(xxhash.xxh3_64_intdigest(tokens.tobytes()))
 
 
-def _sign(ngram: int, percent: int, shared, frequent: int):
+def _sign(ngram: int, percent: int, shared, size: int, frequent: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = unpacked(shared.value, SLOTS)
+        counts = unpacked(shared.value, size)
         for batch in batches:
             ids, sizes, keys, entries = [], [], [], []
             for doc_id, text in _texts(batch):
@@ -232,7 +285,7 @@ def _sign(ngram: int, percent: int, shared, frequent: int):
                 ids.append(doc_id)
                 sizes.append(len(tokens))
                 keys.append(_set_key(tokens) if len(tokens) and doc_id is not None else None)
-                entries.append(signatures(tokens, counts, frequent, percent).view(np.int64) if len(tokens) else np.empty(0, np.int64))
+                entries.append(signatures(tokens, counts, frequent, percent, k).view(np.int64) if len(tokens) else np.empty(0, np.int64))
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(entries, pa.list_(pa.int64()))], ["doc_id", "n", "k", "entries"])
         forget()
@@ -272,20 +325,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", (F.lit(100) * F.col("same") >= F.lit(percent) * (F.size("ta") + F.size("tb") - F.col("same"))).alias("links"))
 
 
-def _spanning(a: np.ndarray, b: np.ndarray, size: int) -> list[int]:
-    """Indices of those of the links a, b that join what the links before them have not joined."""
-    root, kept = list(range(size)), []
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-        while root[x] != x:
-            root[x] = x = root[root[x]]
-        while root[y] != y:
-            root[y] = y = root[root[y]]
-        if x != y:
-            root[x] = y
-            kept.append(i)
-    return kept
-
-
 def common_tokens(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of all sets on the left with all on the right."""
     mine, other = np.concatenate(left), np.concatenate(right)
@@ -328,7 +367,7 @@ def _block_links(percent: int):
             at_i, at_j = np.nonzero(links)
             x, y = i[at_i], j[at_j]
             _, node = np.unique(c, return_inverse=True)
-            kept = _spanning(node[x], node[y], len(c))
+            kept = spanning(node[x], node[y], len(c))
             x, y = x[kept], y[kept]
         return pa.table({"a": pa.array(np.minimum(k[x], k[y]), pa.int64()), "b": pa.array(np.maximum(k[x], k[y]), pa.int64())})
 
@@ -348,29 +387,31 @@ def in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return dealt.join(sets, "k").groupBy("g", "i", "j").applyInArrow(_block_links(percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, combined: int = COMBINED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: ``doc_id, n_shingles, component_id``.
 
     Two documents link if 100 * intersection >= percent * union of their sets. component_id is
     the least doc_id that links reach. Null, empty and wordless texts have no tokens and
     link with nothing, nor do rows without an id; their component is their own id. Repeated rows
-    link with each other. An empty table gives an empty result; other columns are ignored.
+    link with each other. An empty table gives an empty result; other columns, whatever their names, are ignored.
+    ``combined`` is the number of frequent tokens in a combination.
     """
-    if not 50 < percent <= 100:
-        raise ValueError("percent must be above 50 and at most 100")
+    if not 50 < percent <= 100 or combined < 1:
+        raise ValueError("percent must be above 50 and at most 100, combined positive")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    table, frequent = token_levels(rows, ngram)
+    size, table, frequent = token_levels(rows, ngram)
     shared = spark.sparkContext.broadcast(table)
-    base = cut(rows.mapInArrow(_sign(ngram, percent, shared, frequent), "doc_id long, n long, k long, entries array<long>"))
-
-    classes = base.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("entries").alias("entries"))
-    entry = Window.partitionBy("entry")
-    index = classes.select("k", "n", F.explode("entries").alias("entry")).withColumn("lo", F.min("k").over(entry)).withColumn("hi", F.max("k").over(entry))
-    index = cut(index.where("lo < hi").select("entry", "k", "n"))
-    wanted = cut(index.select("k").distinct().join(base.groupBy("k").agg(F.min("doc_id").alias("doc_id")), "k"))
+    base = cut(map_arrow(rows, _sign(ngram, percent, shared, size, frequent, combined), "doc_id long, n long, k long, entries array<long>"))
+
+    sets_of = base.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("doc_id"))
+    listed = base.where("k is not null").select("k", "n", F.explode("entries").alias("entry"))
+    # entries that more than one set has; copies of a set count once
+    several = listed.groupBy("entry").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("entry")
+    index = cut(listed.join(several, "entry").distinct())
+    wanted = cut(index.select("k").distinct().join(sets_of, "k"))
     bits = spark.sparkContext.broadcast(id_bits(wanted))
-    sets = rows.where("doc_id is not null").mapInArrow(_sets(ngram, bits), "doc_id long, k long, tokens array<long>")
+    sets = map_arrow(rows.where("doc_id is not null"), _sets(ngram, bits), "doc_id long, k long, tokens array<long>")
     # rows can share an id, so the key decides; equal rows are one
     sets = cut(sets.join(wanted, ["doc_id", "k"]).groupBy("k").agg(F.first("tokens").alias("tokens")))
 
@@ -380,15 +421,15 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col:
     links = found = done = None
     for turn in range(STAR_ROUNDS + 1):
         here = index if found is None else index.join(found.select(F.col("node").alias("k"), "component"), "k", "left")
-        here = here.withColumn("c", F.col("k") if found is None else F.coalesce("component", "k"))
-        here = here.withColumn("least", F.min("c").over(entry)).withColumn("most", F.max("c").over(entry)).where("least < most")
-        leader = F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("h"), "k", "n", "c")).over(entry)
-        here = here.withColumn("l", leader)
+        here = here.withColumn("c", F.col("k") if found is None else F.coalesce("component", "k")).select("entry", "k", "n", "c")
+        leader = F.min(F.struct(F.xxhash64("k", F.lit(turn)).alias("h"), "k", "n", "c")).alias("l")
+        entries = here.groupBy("entry").agg(F.min("c").alias("least"), F.max("c").alias("most"), F.count("*").alias("members"), leader).where("least < most")
+        here = here.join(entries.select("entry", "members", "l"), "entry")
         if turn < STAR_ROUNDS:
             tied = here.where(f"l.c != c and {alike('l.n', 'n')}")
             pairs = tied.select(F.least("k", "l.k").alias("a"), F.greatest("k", "l.k").alias("b"))
         else:
-            here = cut(here.withColumn("members", F.count("*").over(entry)).select("entry", "k", "n", "c", "members", F.col("l.k").alias("g")))
+            here = cut(here.select("entry", "k", "n", "c", "members", F.col("l.k").alias("g")))
             x, y = (here.where(F.col("members") <= FEW).select("entry", F.col("k").alias(f"{s}k"), F.col("n").alias(f"{s}n"), F.col("c").alias(f"{s}c")) for s in "xy")
             pairs = x.join(y, "entry").where(f"xk < yk and xc != yc and {alike('xn', 'yn')}").select(F.col("xk").alias("a"), F.col("yk").alias("b"))
         pairs = pairs.distinct()
@@ -402,9 +443,8 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, id_col:
         done = checked.select("a", "b") if done is None else done.union(checked.select("a", "b"))
         found = cut(components(links))
 
-    least = base.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("least")).join(found.select(F.col("node").alias("k"), "component"), "k", "left")
-    least = least.withColumn("component", F.coalesce("component", "k"))
-    smallest = least.groupBy("component").agg(F.min("least").alias("component_id"))
+    least = sets_of.join(found.select(F.col("node").alias("k"), "component"), "k", "left").withColumn("component", F.coalesce("component", "k"))
+    smallest = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = least.join(smallest, "component").select("k", "component_id")
     out = base.select("doc_id", "n", "k").join(named, "k", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
