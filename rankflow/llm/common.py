@@ -94,7 +94,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named is None:
         current = jsc.getCheckpointDir()
-        if not current.isDefined() and not spark.sparkContext.master.startswith("local["):
+        if not current.isDefined() and spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("a cluster needs spark.checkpoint.dir, a folder that driver and executors share")
         named = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="rankflow-")
     if jsc.getCheckpointDir().isEmpty():
