@@ -8,8 +8,11 @@ double precision. With the defaults, pairs at a cosine of 0.98 are found with a
 (measured on random pairs; closer pairs more surely).
 
 Vectors that are equal in all components and labels are one class, which is hashed once and
-counted with its size, so copies are never expanded into pairs. Cells are joined by key;
-only candidates between different vectors become rows.
+counted with its size, so copies are never expanded into pairs. In cells of few members candidates are joined by
+key. Members of a large cell are cut into blocks: a task holds a block of the vectors that live in the cell and one of those that ask
+for it, multiplies them, and emits of each vector how many links it has and links that span the blocks' components,
+never pairs. Two vectors that share several cells count in the least of their large cells, or, without one, once
+among the joined pairs.
 """
 
 from __future__ import annotations
@@ -22,8 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankflow.llm.common import cut
-from rankflow.llm.components import components
+from rankflow.llm.common import cut, map_arrow
+from rankflow.llm.components import components, spanning
+
+#: Candidate pairs up to which a cell is joined, and members of a block beyond.
+FEW_PAIRS, BLOCK = 256, 512
 
 
 def lattice_neighbours() -> np.ndarray:
@@ -90,9 +96,9 @@ def _hash_vectors(tables: int, width: float, probes: int, seed: int):
                         salt = (label * 1_000_003 + int(dim)) * 64 + t
                         near = np.argpartition(-((y - cell) @ NEIGHBOURS.T), probes, axis=1)[:, :probes]
                         around = (cell[:, None, :] + NEIGHBOURS[near]).reshape(-1, 8)
-                        keys += [_keys(cell, salt), _keys(cell, salt), _keys(around, np.repeat(salt, probes))]
-                        owners += [ids, ids, np.repeat(ids, probes)]
-                        home += [np.ones(len(ids), bool), np.zeros(len(ids) * (1 + probes), bool)]
+                        keys += [_keys(cell, salt), _keys(around, np.repeat(salt, probes))]
+                        owners += [ids, np.repeat(ids, probes)]
+                        home += [np.ones(len(ids), bool), np.zeros(len(ids) * probes, bool)]
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(home))], ["cell", "cid", "home"])
 
     return run
@@ -112,6 +118,56 @@ def _cosines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(dot / np.sqrt(xx * yy))], ["a", "b", "cosine"])
 
 
+def _unit(vectors: pa.Array) -> np.ndarray:
+    """Rows of equal length as unit vectors, scaled first so that squares of very large and small components stay finite."""
+    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _shares_earlier(cell: int, homes: list, asks: list, other_homes: list, other_asks: list) -> np.ndarray:
+    """Which pairs of two lists of vectors share a large cell below ``cell``; of each vector its large cells are given."""
+    known = {c: i for i, c in enumerate(sorted({c for some in (*homes, *asks) for c in some if c < cell} & {c for some in (*other_homes, *other_asks) for c in some}))}
+
+    def table(cells: list) -> np.ndarray:
+        out = np.zeros((len(cells), len(known)), np.float32)
+        for i, some in enumerate(cells):
+            out[i, [known[c] for c in some if c in known]] = 1
+        return out
+
+    return (table(homes) @ table(other_asks).T + table(asks) @ table(other_homes).T) > 0
+
+
+def _block_links(threshold: float):
+    """Links of a block of homes (side 0) with a block of askers (side 1) of one cell."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        side, cell = rows.column("side").to_numpy(), rows.column("cell")[0].as_py()
+        parts = [rows.filter(pa.array(side == s)) for s in (0, 1)]
+        ids, n, label, size = zip(*[[p.column(c).to_numpy() for c in ("cid", "n", "label", "size")] for p in parts])
+        also_home = parts[1].column("home").to_numpy(zero_copy_only=False)
+        # a pair that lives in the cell together would meet twice
+        mask = (label[0][:, None] == label[1][None, :]) & (size[0][:, None] == size[1][None, :]) & (ids[0][:, None] != ids[1][None, :])
+        mask &= ~also_home[None, :] | (ids[0][:, None] < ids[1][None, :])
+        for dim in np.unique(np.concatenate(size)):
+            i, j = (np.flatnonzero(s == dim) for s in size)
+            if len(i) and len(j):
+                x, y = (_unit(p.column("embedding").combine_chunks().take(pa.array(at))) for p, at in zip(parts, (i, j)))
+                mask[np.ix_(i, j)] &= x @ y.T >= threshold
+        if mask.any():
+            homes, asks = ([p.column(c).to_pylist() for p in parts] for c in ("homes", "asks"))
+            mask &= ~_shares_earlier(cell, homes[0], asks[0], homes[1], asks[1])
+        out = [(int(a), None, int(m)) for a, m in [*zip(ids[0], mask @ n[1]), *zip(ids[1], n[0] @ mask)] if m]
+        at_i, at_j = np.nonzero(mask)
+        _, node = np.unique(np.concatenate(ids), return_inverse=True)
+        x, y = node[at_i], node[len(ids[0]) + at_j]
+        out += [(int(ids[0][at_i[k]]), int(ids[1][at_j[k]]), 0) for k in spanning(x, y, len(node))]
+        return pa.table({c: pa.array(v, pa.int64()) for c, v in zip(("a", "b", "more"), zip(*out) if out else ([], [], []))})
+
+    return run
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int = 4, width: float = 0.7, probes: int = 12, seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row for each vector: ``vec_id, n_links, component_id, kept``.
 
@@ -129,20 +185,43 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, tables: int = 4
     rows = rows.withColumn("cid", F.when(usable & fine, F.xxhash64("label", "embedding")))
 
     classes = cut(rows.where("cid is not null").groupBy("label", "embedding", "cid").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")))
-    cells = classes.select("cid", F.hash("label").cast("long").alias("label"), "embedding").mapInArrow(_hash_vectors(tables, width, probes, seed), "cell long, cid long, home boolean")
-    cells = cut(cells)
-    homes = cells.where("home").select("cell", F.col("cid").alias("x"))
-    asks = cells.where("not home").select("cell", F.col("cid").alias("y"))
+    cells = map_arrow(classes.select("cid", F.hash("label").cast("long").alias("label"), "embedding"), _hash_vectors(tables, width, probes, seed), "cell long, cid long, home boolean")
+    # cells next to a vector's own count only where some vector lives in them
+    lives = cut(cells.where("home").select("cell", "cid"))
+    living = lives.groupBy("cell").agg(F.count("*").alias("homes"))
+    hits = cut(cells.where("not home").select("cell", "cid").join(living, "cell"))
+    asking = hits.groupBy("cell").agg(F.count("*").alias("hits"))
+    sizes_of = living.join(asking, "cell", "left").select("cell", "homes", (F.col("homes") + F.coalesce("hits", F.lit(0))).alias("asks")).where("asks > 1")
+    members = lives.withColumn("home", F.lit(True)).union(hits.select("cell", "cid", F.lit(False)))
+    members = cut(members.join(sizes_of, "cell"))  # who lives in a cell asks for it as well
+
+    few = members.where(f"homes * asks <= {FEW_PAIRS}")
+    homes, asks = few.where("home").select("cell", F.col("cid").alias("x")), few.select("cell", F.col("cid").alias("y"))
     pairs = homes.join(asks, "cell").where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     left, right = (classes.select(F.col("cid").alias(k), F.col("embedding").alias(f"v{k}"), F.col("label").alias(f"l{k}")) for k in "ab")
-    checked = pairs.join(left, "a").join(right, "b").where("la = lb and size(va) = size(vb)").select("a", "b", "va", "vb").mapInArrow(_cosines, "a long, b long, cosine double")
-    links = cut(checked.where(F.col("cosine") >= threshold).select("a", "b"))
-
+    checked = pairs.join(left, "a").join(right, "b").where("la = lb and size(va) = size(vb)").select("a", "b", "va", "vb")
+    linked = cut(map_arrow(checked, _cosines, "a long, b long, cosine double").where(F.col("cosine") >= threshold).select("a", "b"))
+
+    # large cells: of each vector those that it lives in and asks for, tables * (1 + probes) at most
+    many = members.where(f"homes * asks > {FEW_PAIRS}")
+    own = many.groupBy("cid").agg(F.collect_set(F.when(F.col("home"), F.col("cell"))).alias("homes"), F.collect_set("cell").alias("asks"))
+    own = cut(own)
+    sides = many.select("cell", "cid", F.explode(F.expr("if(home, array(0, 1), array(1))")).alias("side"), F.ceil(F.col("homes") / BLOCK).cast("int").alias("h"), F.ceil(F.col("asks") / BLOCK).cast("int").alias("q"))
+    sides = sides.select("*", F.expr("cast(pmod(xxhash64(cid, 'block'), if(side = 0, h, q)) as int)").alias("block"), F.explode(F.expr("sequence(0, if(side = 0, q, h) - 1)")).alias("with"))
+    sides = sides.select("cell", "cid", "side", F.expr("if(side = 0, block, with)").alias("i"), F.expr("if(side = 0, with, block)").alias("j"))
+    full = sides.join(own, "cid").join(classes.select("cid", "n", F.xxhash64("label").alias("label"), F.size("embedding").alias("size"), "embedding"), "cid")
+    full = full.withColumn("home", F.array_contains("homes", F.col("cell")))
+    found = cut(full.groupBy("cell", "i", "j").applyInArrow(_block_links(threshold), "a long, b long, more long"))
+
+    # joined pairs that share a large cell have been counted there
+    cells_of = [own.select(F.col("cid").alias(k), F.col("homes").alias(f"h{k}"), F.col("asks").alias(f"q{k}")) for k in "ab"]
+    both = linked.join(cells_of[0], "a", "left").join(cells_of[1], "b", "left")
+    counts = both.where(~F.coalesce(F.arrays_overlap("ha", "qb") | F.arrays_overlap("qa", "hb"), F.lit(False))).select("a", "b")
     sizes = classes.select("cid", "n")
-    both = links.union(links.select("b", "a")).toDF("cid", "other")
-    linked = both.join(sizes.toDF("other", "m"), "other").groupBy("cid").agg(F.sum("m").alias("more"))
-    found = components(links).toDF("cid", "component")
-    grouped = classes.select("cid", "least", "n").join(found, "cid", "left").join(linked, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    more = counts.union(counts.select("b", "a")).toDF("cid", "other").join(sizes.toDF("other", "m"), "other").select("cid", "m")
+    more = more.union(found.where("b is null").select("a", "more")).groupBy("cid").agg(F.sum("m").alias("more"))
+    joined = components(linked.union(found.where("b is not null").select("a", "b"))).toDF("cid", "component")
+    grouped = classes.select("cid", "least", "n").join(joined, "cid", "left").join(more, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     least = grouped.groupBy("component").agg(F.min("least").alias("component_id"))
     result = grouped.join(least, "component").select("cid", (F.col("n") - 1 + F.coalesce("more", F.lit(0))).alias("links"), "component_id")
     out = rows.select("vec_id", "cid").join(result, "cid", "left")
