@@ -24,4 +24,4 @@ def session(app: str = "rankflow", **conf: str) -> SparkSession:
 def options(spark: SparkSession) -> dict[str, str]:
     """The settings that matter here, by name."""
     names = [*DEFAULTS, "spark.sql.shuffle.partitions", "spark.sql.files.maxPartitionBytes", "spark.master"]
-    return {n: spark.conf.get(n, "") for n in names}
+    return {n: spark.conf.get(n) for n in names}
