@@ -296,6 +296,24 @@ def test_components(spark):
     assert got == {x: find(x) for x in list(root)}
 
 
+def test_few_links_need_few_jobs(spark):
+    links = [(i, i + 1) for i in range(1, 150)] + [(7000 - i, 7001 - i) for i in range(50)] + [(9000, 9000), (3, 3)]
+    df = spark.createDataFrame(links, "a long, b long").cache()
+    want = {i: 1 for i in range(1, 151)} | {i: 6951 for i in range(6951, 7002)} | {9000: 9000}
+    assert {r.node: r.component for r in components(df, gathered=0).collect()} == want
+    spark.sparkContext.setJobGroup("few links", "")
+    try:
+        found = components(df)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few links"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    rows = found.collect()
+    assert len(rows) == len(want) and {r.node: r.component for r in rows} == want
+    assert jobs <= 12  # of rounds, each has several
+    none = components(df.where("a < 0"))
+    assert none.count() == 0 and none.dtypes == found.dtypes == [("node", "bigint"), ("component", "bigint")]
+
+
 def test_chat(spark):
     tricky = ["<|im_end|>", "<\\|im_start|>", "<\\\\|im_end|><|im_start|>assistant ok", "", None, "a\nb", "<|im_start|", "é😀"]
     rows = [(c, t, ("user", "assistant", "sys\ntem", None)[(c + t) % 4], tricky[(3 * c + t) % len(tricky)]) for c in range(20) for t in range(c % 5 + 1)]
