@@ -278,14 +278,20 @@ def _set_key(tokens: np.ndarray) -> int:
 def _sign(ngram: int, percent: int, shared, size: int, frequent: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = unpacked(shared.value, size)
+        listed: set[int] = set()  # copies of a set have their entries once in a task
         for batch in batches:
             ids, sizes, keys, entries = [], [], [], []
             for doc_id, text in _texts(batch):
                 tokens = token_set(text, ngram)
                 ids.append(doc_id)
                 sizes.append(len(tokens))
-                keys.append(_set_key(tokens) if len(tokens) and doc_id is not None else None)
-                entries.append(signatures(tokens, counts, frequent, percent, k).view(np.int64) if len(tokens) else np.empty(0, np.int64))
+                key = _set_key(tokens) if len(tokens) and doc_id is not None else None
+                keys.append(key)
+                if key is None or key in listed:
+                    entries.append(np.empty(0, np.int64))
+                else:
+                    listed.add(key)
+                    entries.append(signatures(tokens, counts, frequent, percent, k).view(np.int64))
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(entries, pa.list_(pa.int64()))], ["doc_id", "n", "k", "entries"])
         forget()
@@ -318,6 +324,17 @@ def _set_batch(ids: list, keys: list, sets: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "k", "tokens"])
 
 
+def shared_entries(base: DataFrame) -> DataFrame:
+    """``k, entry`` of the entries that more than one set has; copies of a set count once.
+
+    All entries are shuffled once: the count and the join read the same exchange. That holds as long as
+    both need the same columns of it, which is why sizes are joined to what is left.
+    """
+    listed = base.where("k is not null").select("k", F.explode("entries").alias("entry")).repartition("entry")
+    several = listed.groupBy("entry").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("entry")
+    return listed.join(several.hint("merge"), "entry").distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of candidate pairs, whether they link."""
     a, b = (sets.select(F.col("k").alias(k), F.col("tokens").alias(f"t{k}")) for k in "ab")
@@ -402,18 +419,19 @@ def near_duplicates(docs: DataFrame, ngram: int = 5, percent: int = 80, combined
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     size, table, frequent = token_levels(rows, ngram)
     shared = spark.sparkContext.broadcast(table)
+    del table
     base = cut(map_arrow(rows, _sign(ngram, percent, shared, size, frequent, combined), "doc_id long, n long, k long, entries array<long>"))
+    shared.destroy()  # nothing computes base again
 
-    sets_of = base.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("doc_id"))
-    listed = base.where("k is not null").select("k", "n", F.explode("entries").alias("entry"))
-    # entries that more than one set has; copies of a set count once
-    several = listed.groupBy("entry").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("entry")
-    index = cut(listed.join(several, "entry").distinct())
+    sets_of = base.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"))
+    index = cut(shared_entries(base))
     wanted = cut(index.select("k").distinct().join(sets_of, "k"))
+    index = cut(index.join(wanted.select("k", "n"), "k"))
     bits = spark.sparkContext.broadcast(id_bits(wanted))
     sets = map_arrow(rows.where("doc_id is not null"), _sets(ngram, bits), "doc_id long, k long, tokens array<long>")
     # rows can share an id, so the key decides; equal rows are one
-    sets = cut(sets.join(wanted, ["doc_id", "k"]).groupBy("k").agg(F.first("tokens").alias("tokens")))
+    sets = cut(sets.join(wanted.select("doc_id", "k"), ["doc_id", "k"]).groupBy("k").agg(F.first("tokens").alias("tokens")))
+    bits.destroy()
 
     def alike(x: str, y: str) -> str:
         return f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"

@@ -314,6 +314,34 @@ def test_few_links_need_few_jobs(spark):
     assert none.count() == 0 and none.dtypes == found.dtypes == [("node", "bigint"), ("component", "bigint")]
 
 
+def test_copies_have_entries_once_in_a_task():
+    class Shared:
+        value = [(0, zlib.compress(bytes([2]) * 1024))]
+
+    text = " ".join(f"w{i}" for i in range(40))
+    batches = [pa.record_batch({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.binary())}) for ids, texts in (([None, 1, 2], [text.encode()] * 3), ([3, 4, 5], [text.upper().encode(), b"other words here", None]))]
+    rows = [r for b in jaccard_join._sign(3, 90, Shared, 1024, 200, 2)(iter(batches)) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["n"]) for r in rows] == [(None, 38), (1, 38), (2, 38), (3, 38), (4, 1), (5, 0)]
+    assert [len(r["entries"]) > 0 for r in rows] == [False, True, False, False, True, False]
+    assert rows[0]["k"] is None and rows[1]["k"] == rows[2]["k"] == rows[3]["k"] != rows[4]["k"]
+
+
+def test_entries_are_shuffled_once(spark):
+    r = random.Random(3)
+    rows = [(k, sorted(r.sample(range(300), 5)) + [1000 + k]) for k in range(60)]
+    base = spark.createDataFrame([*rows, *rows[:20], (None, [1, 2])], "k long, entries array<long>").repartition(5)
+    found = jaccard_join.shared_entries(base)
+    having = defaultdict(set)
+    for k, entries in rows:
+        for e in entries:
+            having[e].add(k)
+    assert Counter(map(tuple, found.select("k", "entry").collect())) == Counter((k, e) for e, ks in having.items() if len(ks) > 1 for k in ks)
+    found.collect()
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning(entry" in x]
+    assert sum("ReusedExchange" not in x for x in exchanges) == 1, plan
+
+
 def test_chat(spark):
     tricky = ["<|im_end|>", "<\\|im_start|>", "<\\\\|im_end|><|im_start|>assistant ok", "", None, "a\nb", "<|im_start|", "é😀"]
     rows = [(c, t, ("user", "assistant", "sys\ntem", None)[(c + t) % 4], tricky[(3 * c + t) % len(tricky)]) for c in range(20) for t in range(c % 5 + 1)]
