@@ -329,6 +329,7 @@ def shared_entries(base: DataFrame) -> DataFrame:
 
     All entries are shuffled once: the count and the join read the same exchange. That holds as long as
     both need the same columns of it, which is why sizes are joined to what is left.
+    The rows of an entry, one for each set and task that listed it, meet in one task here.
     """
     listed = base.where("k is not null").select("k", F.explode("entries").alias("entry")).repartition("entry")
     several = listed.groupBy("entry").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo < hi").select("entry")
