@@ -458,8 +458,8 @@ def inplace_merge(spark, sf_dir):
 
 @query("SELECT row_number() OVER (ORDER BY k DESC, side, p) - 1 AS pos, k AS value FROM (SELECT 0 AS side, event_id AS p, CAST((100000 - event_id) // 7 AS BIGINT) AS k FROM events UNION ALL SELECT 1, n_nationkey, CAST((50 - n_nationkey) * 200 AS BIGINT) FROM nation)")
 def merge_comp(spark, sf_dir):
-    """Two descending sequences, merged by a comparator."""
-    a = mapping.transform(_events(spark, sf_dir, "event_id"), lambda i: F.floor((100000 - i) / 7))
+    """Two descending sequences, merged by a comparator. Quotients are cut towards zero, as SQL's ``//`` does below it."""
+    a = mapping.transform(_events(spark, sf_dir, "event_id"), lambda i: ((100000 - i) / 7).cast("long"))
     b = mapping.transform(_seq(spark, sf_dir, "nation", "n_nationkey", "n_nationkey"), lambda i: ((50 - i) * 200).cast("long"))
     return ordering.merge(a, b, comparator=lambda x, y: F.signum(y - x).cast("int")).df
 

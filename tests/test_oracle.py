@@ -32,6 +32,17 @@ def test_query(spark, name):
     held_against_sql(spark, name, queries.QUERIES[name], queries.ORACLE_SQL[name])
 
 
+def test_merge_comp_below_zero(spark, tmp_path):
+    """More than 100,000 events make negative keys."""
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT range AS event_id FROM range(100040)) TO '{tmp_path}/events.parquet'")
+    con.execute(f"COPY (SELECT CAST(range AS INTEGER) AS n_nationkey FROM range(25)) TO '{tmp_path}/nation.parquet'")
+    for t in ("events", "nation"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got, want = queries.QUERIES["merge_comp"](spark, str(tmp_path)).toPandas(), con.sql(queries.ORACLE_SQL["merge_comp"]).df()
+    assert rows(got, ["pos", "value"]) == rows(want, ["pos", "value"])
+
+
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test data")
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
