@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from rankflow.plans.policy import PAR, Policy
-from rankflow.plans.positions import dense_positions, sums_before
+from rankflow.plans.positions import dense_positions, exchanged
 from rankflow.seq import Seq
 
 #: Elements that a comparator sorts as one array, and sampled elements for each such range.
@@ -30,39 +29,49 @@ sort = stable_sort
 def sort_by_comparator(seq: Seq, comparator: Callable[[Column, Column], Column]) -> Seq:
     """Elements by a comparator (negative, zero or positive) of their first column; equal ones in their old order.
 
-    Splitters are taken from a sample that the comparator sorts. An element finds its range among them in two steps (which
-    run of splitters, which one of the run), ranges of about RANGE elements are sorted as arrays, and
+    Splitters are taken from a sample that the comparator sorts. An element finds its range among them by bisection, ranges
+    of about RANGE elements are gathered once and sorted as arrays, and
     ranges are numbered by their sizes. Positions break ties, so many equal elements fall into many ranges.
     """
     first, n = seq.columns[0], seq.length()
     ranges = max(1, -(-n // RANGE))
-    step = max(1, math.isqrt(ranges))
 
-    def compare(a: Column, b: Column) -> Column:
+    def compare(a: Column | dict[str, Column], b: Column | dict[str, Column]) -> Column:
         c = comparator(a[first], b[first])
         return F.when(c != 0, c).when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0)
 
     rows = seq.df.select("pos", *seq.columns)
     if ranges > 1:
-        sample = rows.select("pos", first).orderBy(F.xxhash64("pos")).limit(min(n, OVERSAMPLE * ranges))
-        ordered = sample.agg(F.array_sort(F.collect_list(F.struct("pos", first)), compare).alias("_s"))  # OVERSAMPLE for each range
-        places = F.transform(F.sequence(F.lit(1), F.lit(ranges - 1)), lambda i: F.get("_s", (i * F.size("_s") / F.lit(ranges)).cast("int")))
-        runs = ordered.select(places.alias("_s")).select(F.expr(f"transform(sequence(0, size(_s) - 1, {step}), i -> slice(_s, i + 1, {step}))").alias("_runs"))
-        here = F.struct("pos", first)
-
-        def not_after(s: Column) -> Column:
-            return compare(s, here) <= 0
-
-        rows = rows.crossJoin(F.broadcast(runs))  # one row
-        rows = rows.withColumn("_run", F.size(F.filter("_runs", lambda r: not_after(r[0]))))
-        rows = rows.withColumn("_range", F.when(F.col("_run") == 0, F.lit(0)).otherwise((F.col("_run") - 1) * step + F.size(F.filter(F.get("_runs", F.col("_run") - 1), not_after))))
-        rows = rows.drop("_runs", "_run")
+        rows = exchanged(rows)  # a leaf: where values are still to be computed Spark would put them and the splitters into one row
+        drawn = F.pmod(F.xxhash64("pos"), F.lit(n)) < min(n, OVERSAMPLE * ranges)  # about OVERSAMPLE for each range
+        ordered = rows.select("pos", first).where(drawn).agg(F.array_sort(F.collect_list(F.struct("pos", first)), compare).alias("_s"))
+        places = F.transform(F.sequence(F.lit(1).cast("long"), F.lit(ranges - 1).cast("long")), lambda i: F.get("_s", (i * F.size("_s") / F.lit(ranges)).cast("int")))
+        found = _found(F.col("_splitters"), ranges - 1, compare, {c: F.col(c) for c in ("pos", first)})
+        rows = rows.withColumn("_splitters", ordered.select(places).scalar()).select("pos", *seq.columns, found.alias("_range"))
     else:
         rows = rows.withColumn("_range", F.lit(0))
-    groups = rows.groupBy("_range").agg(F.array_sort(F.collect_list(F.struct("pos", *seq.columns)), compare).alias("_all"), F.count("*").alias("_n"))
-    before = sums_before(rows.groupBy("_range").agg(F.count("*").alias("_n")), "_range", ["_n"]).select("_range", "_n_before")
-    inner = groups.join(before, "_range").select("_n_before", F.posexplode("_all").alias("_i", "_e"))
-    return Seq(inner.select((F.col("_n_before") + F.col("_i")).cast("long").alias("pos"), *[F.col(f"_e.{c}").alias(c) for c in seq.columns]), length=n)
+    groups = exchanged(rows.repartition("_range").groupBy("_range").agg(F.collect_list(F.struct("pos", *seq.columns)).alias("_all")))
+    sizes = groups.select("_range", F.size("_all").cast("long").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))  # a row for each range
+    inner = groups.join(F.broadcast(before), "_range").select("_before", F.posexplode(F.array_sort("_all", compare)).alias("_i", "_e"))
+    return Seq(inner.select((F.col("_before") + F.col("_i")).alias("pos"), *[F.col(f"_e.{c}").alias(c) for c in seq.columns]), length=n)
+
+
+def _found(splitters: Column, most: int, compare: Callable[..., Column], here: dict[str, Column]) -> Column:
+    """How many of the sorted splitters, ``most`` at most, do not come after ``here``.
+
+    Splitters are a scalar that is read where it is. Joined rows, or steps that hand it on, would copy all splitters for each element.
+    """
+    widths = F.array(*[F.lit(1 << i) for i in reversed(range(most.bit_length()))])
+
+    def bisected(s: Column) -> Column:
+        def step(at: Column, width: Column) -> Column:
+            met = (at + width <= F.size(s)) & (compare(F.get(s, at + width - 1), here) <= 0)
+            return F.when(met, at + width).otherwise(at)
+
+        return F.aggregate(widths, F.lit(0), step)
+
+    return F.get(F.transform(F.array(splitters), bisected), 0)
 
 
 def merge(a: Seq, b: Seq, key: Callable[..., Column] | None = None, comparator: Callable[[Column, Column], Column] | None = None, policy: Policy = PAR) -> Seq:

@@ -222,6 +222,20 @@ def test_vector_sizes(spark):
             run().collect()
 
 
+@pytest.mark.parametrize("size", [1, 60, 125, 250, 499])
+def test_comparator_ranges(spark, size, monkeypatch):
+    """Any number of ranges; no row is joined with the splitters, and the rows in order come from one exchange."""
+    monkeypatch.setattr(ordering, "RANGE", size)
+    plans = []
+    monkeypatch.setattr(ordering, "exchanged", lambda df: plans.append(df) or positions.exchanged(df), raising=False)
+    s = mapping.transform(iota(spark, n=500), lambda v: (v * 7919) % 83)
+    down = ordering.sort_by_comparator(s, lambda a, b: (b - a).cast("int"))
+    assert values(down) == sorted(((v * 7919) % 83 for v in range(500)), reverse=True)
+    nodes = sum((plan_nodes(p) for p in [*plans, down.df]), plan_nodes(s.df))
+    assert not {"BroadcastNestedLoopJoin", "CartesianProduct", "TakeOrderedAndProject"} & set(nodes)
+    assert not any("_splitters" in p._jdf.queryExecution().optimizedPlan().toString() for p in plans)  # read where they are, in no row
+
+
 @pytest.mark.parametrize("size", [7, 100_000])
 def test_comparators(spark, size, monkeypatch):
     monkeypatch.setattr(ordering, "RANGE", size)
